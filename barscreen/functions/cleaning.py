@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from .numeric import col
 
-# Accepted date layouts, tried in this order.
-DATE_FORMATS = ("d-MMM-yyyy", "d-M-yyyy", "yyyy-M-d", "d MMM yyyy")
+# Accepted date layouts, tried in this order, and the shape of each.
+DATE_FORMATS = {
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+}
 
 
 def quoted(name: str) -> Column:
@@ -41,9 +46,16 @@ def first_present(df: DataFrame, names: Sequence[str], default: str = "") -> Col
 
 
 def parse_date(c: Column | str) -> Column:
-    """First matching layout wins, NULL when none does."""
+    """First matching layout wins, NULL when none does.
+
+    Each text is parsed once, by the layout it has the shape of: failed parses are slow.
+    """
     text = F.trim(col(c).cast("string"))
-    return F.coalesce(*(F.try_to_date(text, fmt) for fmt in DATE_FORMATS))
+    parsed = None
+    for layout, shape in DATE_FORMATS.items():
+        date = F.try_to_date(text, layout)
+        parsed = (F if parsed is None else parsed).when(text.rlike(shape), date)
+    return parsed
 
 
 def _number(c: Column | str) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 
 def col(c: Column | str) -> Column:
@@ -32,11 +31,9 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(double(num), double(den))
 
 
-def mean_price(c: Column | str, window: WindowSpec | None = None) -> Column:
-    """Mean of two-digit decimals: an integer sum of cents, divided once."""
+def mean_price(c: Column | str) -> Column:
+    """Mean of two-digit decimals in a group: an integer sum of cents, divided once."""
     total, n = F.sum((col(c) * 100).cast("bigint")), F.count(col(c))
-    if window is not None:
-        total, n = total.over(window), n.over(window)
     return F.try_divide(total.cast("double"), (n * 100).cast("double"))
 
 

@@ -15,7 +15,7 @@ from .upsert import keyed_update
 REPAIRED_COLUMNS = ("open", "high", "low", "close", "volume")
 
 
-def jump_rows(bars: DataFrame, mode: str = "abs", threshold: float = 0.30, **split) -> DataFrame:
+def jump_rows(bars: DataFrame, mode: str = "abs", threshold: float = 0.30) -> DataFrame:
     """Bars that do not follow from the bar before.
 
     ``abs``: close moved by more than the threshold; ``drop``: fell by more than it;
@@ -34,7 +34,7 @@ def jump_rows(bars: DataFrame, mode: str = "abs", threshold: float = 0.30, **spl
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         return df.withColumn("prev_row_close", F.lag("close").over(w))
 
-    return over_series(bars, 1, build, **split).filter(prev.isNotNull() & rules[mode])
+    return over_series(bars, 1, build).filter(prev.isNotNull() & rules[mode])
 
 
 def detect_jumps(bars: DataFrame, mode: str = "abs", threshold: float = 0.30) -> DataFrame:

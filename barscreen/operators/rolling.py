@@ -1,61 +1,54 @@
 """Rolling windows over keyed date series.
 
-Frames are counted in rows, so all windows of a query share one spec
-``partitionBy(key).orderBy(date)``: one shuffle, one sort. (key, date) is unique, hence a
-series grows by at most 366 rows a year. Should one series still be far longer than that
-(``hot_rows``), it is cut into blocks that carry the rows their look-back needs, so that no
-task ever holds a whole hot series. The split changes the plan, never the result.
+Frames are counted in rows, and all windows of a query share one spec
+``partitionBy(key).orderBy(date)``: one shuffle, one sort. (key, date) is unique in every
+stored table, so a series holds at most 366 rows a year however large the table is, and so
+does the task that processes it. ``block_rows`` cuts series into overlapping blocks where
+there are fewer series than cores; it changes the plan, never the result.
+
+Work per row does not grow with the frame: means are differences of running integer sums,
+long extremes are combined from short ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from ..functions.numeric import mean_price, true_range
+from ..functions.numeric import change_pct, true_range
 
-HOT_SERIES_ROWS = 50_000  # more than a century of daily bars
-BLOCK_ROWS = 8_192
 MAX_MONTH_ROWS = 31  # unique dates: no calendar month of a series is longer
 BROADCAST_ROWS = 200_000  # rows of the month map that may be broadcast (about 10 MB)
+SHORT_ROWS = 16  # frames up to twice this length are scanned directly
 
-
-def before(w: WindowSpec, n: int) -> WindowSpec:
-    """The ``n`` rows before the current one."""
-    return w.rowsBetween(-n, -1)
-
-
-def last(w: WindowSpec, n: int) -> WindowSpec:
-    """The ``n`` rows ending at the current one."""
-    return w.rowsBetween(-(n - 1), 0)
+Build = Callable[[DataFrame, WindowSpec], DataFrame]
 
 
 def over_series(
     df: DataFrame,
     lookback: int,
-    build: Callable[[DataFrame, WindowSpec], DataFrame],
+    build: Build,
     key: str = "symbol",
-    hot_rows: int = HOT_SERIES_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Apply ``build(df, w)``, whose windows look back at most ``lookback`` rows.
 
-    ``build`` must keep all columns it is given. Finding hot series reads one column and
-    combines counts before the shuffle.
+    ``build`` must keep all columns it is given.
     """
-    hot = df.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
-    if hot.isEmpty():
+    if block_rows is None:
         return build(df, Window.partitionBy(key).orderBy("date"))
-    months = _month_blocks(df.join(hot, key, "left_semi"), key, lookback, block_rows)
+    months = _month_blocks(df, key, lookback, block_rows)
     if months.count() <= BROADCAST_ROWS:
         months = F.broadcast(months)
     blocked = (
         df.withColumn("_month", F.trunc("date", "month"))
-        .join(months, [key, "_month"], "left")
-        .withColumn("_copy", F.explode(F.coalesce("_copies", _copies(F.lit(0), F.lit(False)))))
+        .join(months, [key, "_month"])
+        .withColumn("_copy", F.explode("_copies"))
         .withColumns({"_block": F.col("_copy.block"), "_warm": F.col("_copy.warm")})
         .drop("_month", "_copies", "_copy")
     )
@@ -63,13 +56,6 @@ def over_series(
     return built.filter(~F.col("_warm")).drop("_block", "_warm")
 
 
-def _copies(block: Column, *warm: Column) -> Column:
-    """One copy for the own block and, as second flag, one to warm up the next block."""
-    return F.array(
-        *(F.struct((block + i).alias("block"), flag.alias("warm")) for i, flag in enumerate(warm))
-    )
-
-
 def _month_blocks(df: DataFrame, key: str, lookback: int, block_rows: int) -> DataFrame:
     """Assign each (series, month) to a block, and late months also to the next block.
 
@@ -84,16 +70,13 @@ def _month_blocks(df: DataFrame, key: str, lookback: int, block_rows: int) -> Da
         .withColumn("_end", F.sum("_n").over(w))
         .withColumn("_block", F.floor((F.col("_end") - F.col("_n")) / size).cast("int"))
     )
-    # the next block starts no earlier than row (block + 1) * size
-    late = F.col("_end") > (F.col("_block") + 1) * size - lookback
     block = F.col("_block")
-    return months.select(
-        key,
-        "_month",
-        F.when(late, _copies(block, F.lit(False), F.lit(True)))
-        .otherwise(_copies(block, F.lit(False)))
-        .alias("_copies"),
-    )
+    own = F.struct(block.alias("block"), F.lit(False).alias("warm"))
+    warm_up = F.struct((block + 1).alias("block"), F.lit(True).alias("warm"))
+    # the next block starts no earlier than row (block + 1) * size
+    late = F.col("_end") > (block + 1) * size - lookback
+    copies = F.when(late, F.array(own, warm_up)).otherwise(F.array(own))
+    return months.select(key, "_month", copies.alias("_copies"))
 
 
 def newest_rows(df: DataFrame, n: int, key: str = "symbol") -> DataFrame:
@@ -110,51 +93,128 @@ def max_date(df: DataFrame, column: str = "date") -> Column:
     return df.agg(F.max(column)).scalar()
 
 
-def with_true_range(df: DataFrame, w: WindowSpec) -> DataFrame:
-    """Add the previous row's close and the true range."""
-    lagged = df.withColumn("prev_close_calc", F.lag("close").over(w))
-    return lagged.withColumn("tr", true_range("high", "low", "prev_close_calc"))
-
-
-def atr(w: WindowSpec, n: int = 14) -> Column:
-    """Simple mean of the last ``n`` true ranges."""
-    return mean_price("tr", last(w, n))
-
-
-def rolling_indicators(bars: DataFrame, **split) -> DataFrame:
-    """All rolling columns of the screens and metrics for every bar."""
+@dataclass(frozen=True)
+class Trailing:
+    """A statistic of ``column`` over ``rows`` rows, up to the current row or the one before."""
+
+    kind: str
+    column: str
+    rows: int
+    current: bool
+
+    @property
+    def skip(self) -> int:
+        return 0 if self.current else 1
+
+    @property
+    def reach(self) -> int:
+        """Rows before the current one that are read; a true range also reads its previous row."""
+        return self.rows - 1 + self.skip + (self.column == "tr")
+
+
+# The rolling columns of the screens and metrics.
+INDICATORS = {
+    "max_20_high": Trailing("max", "high", 20, False),
+    "min_20_low": Trailing("min", "low", 20, False),
+    "avg_50_vol": Trailing("mean", "volume", 50, False),
+    "max_10_vol": Trailing("max", "volume", 10, False),
+    "avg_20_vol": Trailing("mean", "volume", 20, False),
+    "avg_50_del_vol": Trailing("mean", "delivery_volume", 50, False),
+    "max_10_del_vol": Trailing("max", "delivery_volume", 10, False),
+    "avg_20_del_vol": Trailing("mean", "delivery_volume", 20, False),
+    "atr": Trailing("mean", "tr", 14, True),
+    "high_52w": Trailing("max", "high", 252, True),
+    "sma_20": Trailing("mean", "close", 20, True),
+    "sma_50": Trailing("mean", "close", 50, True),
+    "sma_200": Trailing("mean", "close", 200, True),
+}
+
+
+def reach(names: Iterable[str]) -> int:
+    """Look-back of a set of indicators."""
+    return max(INDICATORS[name].reach for name in names)
+
+
+def add_indicators(df: DataFrame, w: WindowSpec, names: Iterable[str]) -> DataFrame:
+    """Add rolling columns by name."""
+    wanted = {name: INDICATORS[name] for name in names}
+    if any(t.column == "tr" for t in wanted.values()):
+        df = df.withColumn("prev_close_calc", F.lag("close").over(w))
+        df = df.withColumn("tr", true_range("high", "low", "prev_close_calc"))
+    types = {f.name: f.dataType for f in df.schema}
+    prepared: dict[str, Column] = {}
+    final: dict[str, Column] = {}
+    for name, t in wanted.items():
+        if t.kind == "mean":
+            scale = types[t.column].scale if isinstance(types[t.column], T.DecimalType) else 0
+            prepared |= _running_totals(t.column, scale, w)
+            final[name] = _mean_of_totals(t, scale, w)
+        elif t.rows <= 2 * SHORT_ROWS:
+            prepared[name] = _extreme(t).over(w.rowsBetween(1 - t.rows - t.skip, -t.skip))
+        else:
+            part = f"_{t.kind}_{t.column}"
+            prepared[part] = _extreme(t).over(w.rowsBetween(1 - SHORT_ROWS, 0))
+            final[name] = _combined_extreme(t, part, w)
+    df = df.withColumns(prepared)
+    if final:
+        df = df.withColumns(final)
+    return df.drop(*(c for c in prepared if c.startswith("_")))
+
+
+def _running_totals(column: str, scale: int, w: WindowSpec) -> dict[str, Column]:
+    """Integer sum and count from the start of the series (or block)."""
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    units = (F.col(column) * 10**scale).cast("bigint") if scale else F.col(column)
+    return {
+        f"_sum_{column}": F.coalesce(F.sum(units).over(so_far), F.lit(0).cast("bigint")),
+        f"_count_{column}": F.count(column).over(so_far),
+    }
+
+
+def _mean_of_totals(t: Trailing, scale: int, w: WindowSpec) -> Column:
+    """Exact integer difference of two running totals, divided once."""
+
+    def span(total: str) -> Column:
+        end = F.lag(total, t.skip).over(w) if t.skip else F.col(total)
+        start = F.lag(total, t.rows + t.skip).over(w)
+        return end - F.coalesce(start, F.lit(0).cast("bigint"))
+
+    rows = (span(f"_count_{t.column}") * 10**scale).cast("double")
+    return F.try_divide(span(f"_sum_{t.column}").cast("double"), rows)
+
+
+def _extreme(t: Trailing) -> Column:
+    return F.max(t.column) if t.kind == "max" else F.min(t.column)
+
+
+def _combined_extreme(t: Trailing, part: str, w: WindowSpec) -> Column:
+    """Extreme of a long frame from overlapping short ones; missing ones are skipped."""
+    steps = [*range(0, t.rows - SHORT_ROWS, SHORT_ROWS), t.rows - SHORT_ROWS]
+    pieces = [F.lag(part, step + t.skip).over(w) for step in steps]
+    return F.greatest(*pieces) if t.kind == "max" else F.least(*pieces)
+
+
+def rolling_indicators(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Every rolling column, and the closes 20 and 251 rows back, for every bar."""
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        return with_true_range(df, w).withColumns(
+        anchored = df.withColumns(
             {
-                "max_20_high": F.max("high").over(before(w, 20)),
-                "min_20_low": F.min("low").over(before(w, 20)),
-                "avg_50_vol": F.avg("volume").over(before(w, 50)),
-                "max_10_vol": F.max("volume").over(before(w, 10)),
-                "avg_20_vol": F.avg("volume").over(before(w, 20)),
-                "avg_50_del_vol": F.avg("delivery_volume").over(before(w, 50)),
-                "max_10_del_vol": F.max("delivery_volume").over(before(w, 10)),
-                "avg_20_del_vol": F.avg("delivery_volume").over(before(w, 20)),
-                "atr": atr(w),
-                "high_52w": F.max("high").over(last(w, 252)),
-                "sma_20": mean_price("close", last(w, 20)),
-                "sma_50": mean_price("close", last(w, 50)),
-                "sma_200": mean_price("close", last(w, 200)),
                 "close_1m_ago": F.lag("close", 20).over(w),
                 "close_1y_ago": F.lag("close", 251).over(w),
             }
         )
+        return add_indicators(anchored, w, INDICATORS)
 
-    return over_series(bars, 251, build, **split)
+    return over_series(bars, 251, build, block_rows=block_rows)
 
 
-def benchmark_returns(index: DataFrame, index_name: str, **split) -> DataFrame:
+def benchmark_returns(index: DataFrame, index_name: str) -> DataFrame:
     """Daily % move of one benchmark, per date."""
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        prev = F.lag("close").over(w)
-        move = F.try_divide((F.col("close") - prev).cast("double"), prev.cast("double"))
-        return df.withColumn("benchmark_pct", move * 100)
+        before = df.withColumn("_before", F.lag("close").over(w))
+        return before.withColumn("benchmark_pct", change_pct("close", "_before")).drop("_before")
 
     series = index.filter(F.col("index_name") == index_name).select("index_name", "date", "close")
-    return over_series(series, 1, build, key="index_name", **split).select("date", "benchmark_pct")
+    return over_series(series, 1, build, key="index_name").select("date", "benchmark_pct")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -20,13 +20,12 @@ from ..functions.numeric import (
 )
 from ..operators.bans import exclude_banned, mark_banned
 from ..operators.rolling import (
-    atr,
-    before,
+    add_indicators,
     benchmark_returns,
     max_date,
     newest_rows,
     over_series,
-    with_true_range,
+    reach,
 )
 
 BENCHMARK = "NIFTY 50"
@@ -60,93 +59,63 @@ WEAKNESS_OUTPUT = (
     "delivery_pct", "date",
 )
 
-Build = Callable[[DataFrame, WindowSpec], DataFrame]
-
 
 @dataclass(frozen=True)
 class Screen:
-    """One screen. ``build`` adds its columns, ``rule`` selects rows, ``order`` sorts them."""
+    """One screen: the columns it reads, its rolling columns, row rule, output and order."""
 
     id: str
     title: str
     description: str
     shown: tuple[str, ...]
     inputs: tuple[str, ...]
-    lookback: int
-    build: Build
+    indicators: tuple[str, ...]
     rule: Column
-    output: tuple[str, ...]
+    output: dict[str, Column]
     order: list[Column]
-    uses_benchmark: bool = field(default=False)
+    uses_benchmark: bool = False
 
     @property
     def columns(self) -> list[dict[str, str]]:
+        """Displayed columns with label and type."""
         described = ((key, *COLUMN_TYPES[key]) for key in self.shown)
         return [{"key": k, "label": label, "type": kind} for k, label, kind in described]
 
 
-def _volume_breakout(amount: str) -> dict:
+def _volume_breakout(amount: str, mean: str, peak: str) -> dict:
     """New 20-row high on exploding (delivery) volume (K1, K4)."""
-
-    def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        rolled = df.withColumns(
-            {
-                "max_20_high": F.max("high").over(before(w, 20)),
-                "mean_amount": F.avg(amount).over(before(w, 50)),
-                "max_amount": F.max(amount).over(before(w, 10)),
-            }
-        )
-        return rolled.withColumns(
-            {
-                "change_pct": change_pct("close", "open"),
-                "volume_mult": multiple(amount, "mean_amount"),
-                "strength": F.lit("N/A"),
-            }
-        )
-
-    rule = (
-        (F.col("close") > F.col("max_20_high"))
-        & (F.col(amount) > F.col("mean_amount") * EXPLOSION)
-        & (F.col(amount) > F.col("max_amount"))
-        & (F.col("close") > F.col("open"))
-        & (F.col("close") > MIN_CLOSE)
-    )
-    by = "volume" if amount == "volume" else "volume_mult"
+    close = F.col("close")
+    output = {
+        "change_pct": change_pct("close", "open"),
+        "volume_mult": multiple(amount, mean),
+        "strength": F.lit("N/A"),
+    }
+    by = F.col("volume") if amount == "volume" else output["volume_mult"]
     return {
         "shown": ("symbol", "close", "changePct", "volumeMult", "deliveryPct", "date"),
         "inputs": ("open", "high", "close", "volume", "delivery_volume", "delivery_pct"),
-        "lookback": 50,
-        "build": build,
-        "rule": rule,
-        "output": BREAKOUT_OUTPUT,
-        "order": [F.col(by).desc_nulls_last()],
+        "indicators": ("max_20_high", mean, peak),
+        "rule": (
+            (close > F.col("max_20_high"))
+            & (F.col(amount) > F.col(mean) * EXPLOSION)
+            & (F.col(amount) > F.col(peak))
+            & (close > F.col("open"))
+            & (close > MIN_CLOSE)
+        ),
+        "output": {c: output.get(c, F.col(c)) for c in BREAKOUT_OUTPUT},
+        "order": [by.desc_nulls_last()],
     }
 
 
-def _range_breakout(up: bool, amount: str) -> dict:
+def _range_breakout(level: str, amount: str, mean: str) -> dict:
     """Close beyond the extreme of the 20 rows before, graded by ATR and volume (K2, K3, K5, K6)."""
-    close, level = F.col("close"), F.col("level")
-    move = close - level if up else level - close
-
-    def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        extreme = F.max("high") if up else F.min("low")
-        rolled = with_true_range(df, w).withColumns(
-            {
-                "atr": atr(w),
-                "level": extreme.over(before(w, 20)),
-                "mean_amount": F.avg(amount).over(before(w, 20)),
-            }
-        )
-        return rolled.withColumns(
-            {
-                "change_pct": round_to(change_pct("close", "prev_close")),
-                "volume_mult": multiple(amount, "mean_amount"),
-                "strength": breakout_strength(
-                    move, F.col("atr"), F.col(amount), F.col("mean_amount")
-                ),
-            }
-        )
-
+    above = F.col("close") - F.col(level)
+    move = above if level == "max_20_high" else -above
+    output = {
+        "change_pct": round_to(change_pct("close", "prev_close")),
+        "volume_mult": multiple(amount, mean),
+        "strength": breakout_strength(move, F.col("atr"), F.col(amount), F.col(mean)),
+    }
     return {
         "shown": (
             "symbol", "close", "changePct", "strength", "volumeMult", "deliveryPct", "date",
@@ -154,44 +123,40 @@ def _range_breakout(up: bool, amount: str) -> dict:
         "inputs": (
             "high", "low", "close", "prev_close", "volume", "delivery_volume", "delivery_pct",
         ),
-        "lookback": 20,
-        "build": build,
+        "indicators": (level, "atr", mean),
         "rule": move > 0,
-        "output": BREAKOUT_OUTPUT,
-        "order": [F.col("strength").asc_nulls_last(), F.col("volume_mult").desc_nulls_last()],
+        "output": {c: output.get(c, F.col(c)) for c in BREAKOUT_OUTPUT},
+        "order": [output["strength"].asc_nulls_last(), output["volume_mult"].desc_nulls_last()],
     }
 
 
 def _relative_weakness() -> dict:
     """Lagging the benchmark, closing low, on high delivery volume (K7)."""
-
-    def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        return df.withColumns(
-            {
-                "stock_pct": guarded_change_pct("close", "prev_close"),
-                "close_loc": close_location("high", "low", "close"),
-                "mean_amount": F.avg("delivery_volume").over(before(w, 20)),
-            }
-        )
-
-    lag = F.col("stock_pct") - F.coalesce(F.col("benchmark_pct"), F.lit(0.0))
-    rule = (
-        (lag <= MAX_RELATIVE_RETURN)
-        & (F.col("close_loc") <= MAX_CLOSE_LOCATION)
-        & (F.col("delivery_volume") >= F.col("mean_amount") * HIGH_DELIVERY)
-        & (F.col("close") > MIN_CLOSE)
-    )
+    mean = "avg_20_del_vol"
+    stock_pct = guarded_change_pct("close", "prev_close")
+    place = close_location("high", "low", "close")
+    lead = stock_pct - F.coalesce(F.col("benchmark_pct"), F.lit(0.0))
+    output = {
+        "change_pct": round_to(stock_pct),
+        "relative_return": round_to(stock_pct - F.col("benchmark_pct")),
+        "close_location": round_to(place * 100, 1),
+        "delivery_mult": multiple("delivery_volume", mean),
+    }
     return {
         "shown": (
             "symbol", "close", "changePct", "relativeReturn", "closeLocation", "deliveryMult",
             "deliveryPct", "date",
         ),
         "inputs": ("high", "low", "close", "prev_close", "delivery_volume", "delivery_pct"),
-        "lookback": 20,
-        "build": build,
-        "rule": rule,
-        "output": WEAKNESS_OUTPUT,
-        "order": [lag.asc_nulls_last(), F.col("delivery_mult").desc_nulls_last()],
+        "indicators": (mean,),
+        "rule": (
+            (lead <= MAX_RELATIVE_RETURN)
+            & (place <= MAX_CLOSE_LOCATION)
+            & (F.col("delivery_volume") >= F.col(mean) * HIGH_DELIVERY)
+            & (F.col("close") > MIN_CLOSE)
+        ),
+        "output": {c: output.get(c, F.col(c)) for c in WEAKNESS_OUTPUT},
+        "order": [lead.asc_nulls_last(), output["delivery_mult"].desc_nulls_last()],
         "uses_benchmark": True,
     }
 
@@ -237,17 +202,25 @@ _TEXTS = (
 )
 
 _PLANS: dict[str, Callable[[], dict]] = {
-    "volume-breakout": lambda: _volume_breakout("volume"),
-    "upward-breakout": lambda: _range_breakout(True, "volume"),
-    "downward-breakout": lambda: _range_breakout(False, "volume"),
-    "volume-breakout-delivery": lambda: _volume_breakout("delivery_volume"),
-    "upward-breakout-delivery": lambda: _range_breakout(True, "delivery_volume"),
-    "downward-breakout-delivery": lambda: _range_breakout(False, "delivery_volume"),
+    "volume-breakout": lambda: _volume_breakout("volume", "avg_50_vol", "max_10_vol"),
+    "upward-breakout": lambda: _range_breakout("max_20_high", "volume", "avg_20_vol"),
+    "downward-breakout": lambda: _range_breakout("min_20_low", "volume", "avg_20_vol"),
+    "volume-breakout-delivery": lambda: _volume_breakout(
+        "delivery_volume", "avg_50_del_vol", "max_10_del_vol"
+    ),
+    "upward-breakout-delivery": lambda: _range_breakout(
+        "max_20_high", "delivery_volume", "avg_20_del_vol"
+    ),
+    "downward-breakout-delivery": lambda: _range_breakout(
+        "min_20_low", "delivery_volume", "avg_20_del_vol"
+    ),
     "relative-weakness": _relative_weakness,
 }
 
 SCREEN_IDS = tuple(_PLANS)
 
+AsOf = dt.date | Column | str | None
+
 
 def get_screen(screen_id: str) -> Screen:
     """Look a screen up; an unknown id raises ``KeyError``."""
@@ -260,15 +233,49 @@ def list_screens(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(_TEXTS), "id string, title string, description string")
 
 
+def _with_columns(
+    bars: DataFrame,
+    index: DataFrame | None,
+    specs: Sequence[Screen],
+    as_of: AsOf,
+    benchmark: str,
+    block_rows: int | None,
+) -> DataFrame:
+    """Bars with all rolling and benchmark columns the screens need: one shuffle on symbol."""
+    inputs = list(dict.fromkeys(c for spec in specs for c in spec.inputs))
+    names = list(dict.fromkeys(n for spec in specs for n in spec.indicators))
+    rows = bars.select("symbol", "date", *inputs)
+
+    def build(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return add_indicators(df, w, names)
+
+    if as_of is None:
+        rows = over_series(rows, reach(names), build, block_rows=block_rows)
+    else:
+        if isinstance(as_of, str) and as_of == "latest":
+            day = max_date(bars)
+        else:
+            day = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
+            rows = rows.filter(F.col("date") <= day)
+        rows = newest_rows(rows, reach(names) + 1).drop("rn")
+        rows = over_series(rows, reach(names), build).filter(F.col("date") == day)
+    if any(spec.uses_benchmark for spec in specs):
+        if index is None:
+            raise ValueError("this screen needs the index table")
+        # one benchmark, one row per date: at most 366 rows a year
+        rows = rows.join(F.broadcast(benchmark_returns(index, benchmark)), "date", "left")
+    return rows
+
+
 def screen(
     bars: DataFrame,
     screen_id: str,
     *,
     index: DataFrame | None = None,
-    as_of: dt.date | Column | str | None = "latest",
+    as_of: AsOf = "latest",
     benchmark: str = BENCHMARK,
     ordered: bool = False,
-    **split,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Rows that match a screen.
 
@@ -276,37 +283,22 @@ def screen(
     every date. For one date only the look-back rows of each symbol take part.
     """
     spec = get_screen(screen_id)
-    rows = bars.select("symbol", "date", *spec.inputs)
-    if as_of is None:
-        rows = over_series(rows, spec.lookback, spec.build, **split)
-    else:
-        if isinstance(as_of, str) and as_of == "latest":
-            day = max_date(bars)
-        else:
-            day = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
-            rows = rows.filter(F.col("date") <= day)
-        rows = newest_rows(rows, spec.lookback + 1).drop("rn")
-        rows = spec.build(rows, Window.partitionBy("symbol").orderBy("date"))
-        rows = rows.filter(F.col("date") == day)
-    if spec.uses_benchmark:
-        if index is None:
-            raise ValueError(f"screen {screen_id!r} needs the index table")
-        # one benchmark, one row per date: at most 366 rows a year
-        moves = F.broadcast(benchmark_returns(index, benchmark))
-        rows = rows.join(moves, "date", "left")
-    hits = rows.filter(spec.rule)
-    if spec.uses_benchmark:
-        hits = hits.withColumns(
-            {
-                "change_pct": round_to("stock_pct"),
-                "relative_return": round_to(F.col("stock_pct") - F.col("benchmark_pct")),
-                "close_location": round_to(F.col("close_loc") * 100, 1),
-                "delivery_mult": multiple("delivery_volume", "mean_amount"),
-            }
-        )
+    hits = _with_columns(bars, index, [spec], as_of, benchmark, block_rows).filter(spec.rule)
     if ordered:
         hits = hits.orderBy(*spec.order, F.asc("symbol"), F.asc("date"))
-    return hits.select(*spec.output)
+    return hits.select(*(c.alias(name) for name, c in spec.output.items()))
+
+
+def screen_counts(
+    bars: DataFrame, index: DataFrame, as_of: AsOf = "latest", benchmark: str = BENCHMARK
+) -> DataFrame:
+    """Catalogue with the number of rows each screen returns, in one pass."""
+    specs = [get_screen(i) for i in SCREEN_IDS]
+    rows = _with_columns(bars, index, specs, as_of, benchmark, None)
+    counts = rows.agg(*(F.count_if(spec.rule).alias(spec.id) for spec in specs))
+    return counts.unpivot([], list(SCREEN_IDS), "id", "hits").join(
+        list_screens(bars.sparkSession), "id"
+    )
 
 
 def run_screen(
@@ -315,7 +307,7 @@ def run_screen(
     screen_id: str,
     *,
     index: DataFrame | None = None,
-    as_of: dt.date | Column | str | None = "latest",
+    as_of: AsOf = "latest",
     exclude: bool = False,
     **options,
 ) -> DataFrame:
@@ -326,18 +318,6 @@ def run_screen(
     return mark_banned(hits, bans)
 
 
-def screen_counts(
-    bars: DataFrame, index: DataFrame, as_of: dt.date | Column | str | None = "latest", **options
-) -> DataFrame:
-    """Catalogue with the number of rows each screen returns."""
-    counted = None
-    for screen_id in SCREEN_IDS:
-        hits = screen(bars, screen_id, index=index, as_of=as_of, **options)
-        one = hits.agg(F.count("*").alias("hits")).select(F.lit(screen_id).alias("id"), "hits")
-        counted = one if counted is None else counted.unionByName(one)
-    return list_screens(bars.sparkSession).join(counted, "id")
-
-
 def sort_results(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """Re-sort by any column; a missing number sorts as 0, a missing text as '' (G7)."""
     if dict(df.dtypes)[column] in ("string", "date"):

@@ -158,8 +158,8 @@ def rolling_indicators(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rolling_indicators_split(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with every long series cut into blocks."""
-    rolled = rolling.rolling_indicators(t.bars(spark, sf), hot_rows=500, block_rows=512)
+    """The same with every series cut into blocks."""
+    rolled = rolling.rolling_indicators(t.bars(spark, sf), block_rows=512)
     return plain(rolled.select("symbol", "date", *ROLLING_COLUMNS))
 
 

@@ -48,19 +48,26 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = given(spark, sf_dir, "lineitem")
     parts = given(spark, sf_dir, "part").select("p_partkey", "p_brand")
     order = ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
-    px = F.col("l_extendedprice").cast("decimal(12,2)")
+    # prices have two decimals: whole cents stay exact and cheap until after the aggregate
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
         brand_symbol().alias("symbol"),
         F.col("l_shipdate").cast("date").alias("date"),
-        px.alias("px"),
+        cents.alias("px"),
         # the price folded into the band 1000.00 to 1049.99
-        ((px * 100).cast("bigint") % 5000 + 100000).alias("cents"),
+        (cents % 5000 + 100000).alias("band"),
         F.col("l_quantity").cast("bigint").alias("qty"),
         (F.col("l_returnflag") != "R").alias("kept"),
         F.struct(*order, "l_quantity").alias("k"),
     )
 
 
+def _price(cents: Column | str, kind: str = "decimal(12,2)") -> Column:
+    """Cents as a price, multiplied in decimals."""
+    c = F.col(cents) if isinstance(cents, str) else cents
+    return (c * F.expr("0.01BD")).cast(kind)
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per symbol and date: the only pass over the line items."""
 
@@ -69,30 +76,30 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
             trades(spark, sf_dir)
             .groupBy("symbol", "date")
             .agg(
-                F.min_by(F.struct("px", "cents"), "k").alias("first"),
-                F.max_by(F.struct("px", "cents"), "k").alias("final"),
+                F.min_by(F.struct("px", "band"), "k").alias("first"),
+                F.max_by(F.struct("px", "band"), "k").alias("final"),
                 F.max("px").alias("high"),
                 F.min("px").alias("low"),
-                F.max("cents").alias("high_cents"),
-                F.min("cents").alias("low_cents"),
+                F.max("band").alias("high_band"),
+                F.min("band").alias("low_band"),
                 F.sum("qty").alias("volume"),
-                F.sum("px").cast("decimal(18,2)").alias("value"),
+                F.sum("px").alias("value"),
                 F.count("*").cast("int").alias("trades"),
                 F.sum(F.when(F.col("kept"), F.col("qty")).otherwise(0)).alias("delivery_volume"),
             )
             .select(
                 "symbol",
                 "date",
-                F.col("first.px").alias("open"),
-                "high",
-                "low",
-                F.col("final.px").alias("close"),
-                F.col("first.cents").alias("open_cents"),
-                "high_cents",
-                "low_cents",
-                F.col("final.cents").alias("close_cents"),
+                _price("first.px").alias("open"),
+                _price("high").alias("high"),
+                _price("low").alias("low"),
+                _price("final.px").alias("close"),
+                F.col("first.band").alias("open_band"),
+                "high_band",
+                "low_band",
+                F.col("final.band").alias("close_band"),
                 "volume",
-                "value",
+                _price("value", "decimal(18,2)").alias("value"),
                 "trades",
                 "delivery_volume",
             )
@@ -187,12 +194,7 @@ def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         rows = daily(spark, sf_dir)
-        priced = rows.withColumns(
-            {
-                c: (F.col(f"{c}_cents") * F.expr("0.01BD")).cast("decimal(12,2)")
-                for c in ("open", "high", "low", "close")
-            }
-        )
+        priced = rows.withColumns({c: _price(f"{c}_band") for c in ("open", "high", "low", "close")})
         return _as_bars(_with_prev_close(priced))
 
     return _once(spark, sf_dir, "adjusted", build)
