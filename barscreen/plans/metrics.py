@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +81,10 @@ def stock_metrics(
     )
     close = F.col("close")
     year = change_pct(close, "close_1y_ago")
-    metrics = per_symbol.join(ytd_anchor(bars, ytd_from), "symbol", "left").withColumns(
+    anchored = per_symbol.join(ytd_anchor(bars, ytd_from), "symbol", "left").withColumn(
+        "benchmark_1y", benchmark_1y(index, benchmark)
+    )
+    metrics = anchored.withColumns(
         {
             "change_pct": pct_return(close, "prev_close"),
             "ytd_pct": pct_return(close, "ytd_start_close"),
@@ -91,7 +93,7 @@ def stock_metrics(
             "delta_52w_high": pct_return(close, "high_52w"),
             **{f"above_sma_{n}": double(close) > F.col(f"sma_{n}") for n in SMA_ROWS},
             "rs_rank": F.when(
-                F.col("close_1y_ago") > 0, round_to(year - benchmark_1y(index, benchmark))
+                F.col("close_1y_ago") > 0, round_to(year - F.col("benchmark_1y"))
             ),
         }
     )
@@ -206,14 +208,11 @@ def stock_list(
     return attach_sparkline(page, bars).orderBy(*_sort_columns(sort_by, order))
 
 
-HISTORY_COLUMNS: Sequence[str] = LATEST_COLUMNS
-
-
 def stock_history(bars: DataFrame, master: DataFrame, symbol: str, days: int = 30) -> DataFrame:
     """Newest bars of one listed symbol with their change %; empty if unknown."""
     rows = bars.filter(F.col("symbol") == symbol.upper())
     listed = rows.join(stock_info(master, symbol), "symbol", "left_semi")
     changed = listed.select(
-        "symbol", *HISTORY_COLUMNS, round_to(change_pct("close", "prev_close")).alias("change_pct")
+        "symbol", *LATEST_COLUMNS, round_to(change_pct("close", "prev_close")).alias("change_pct")
     )
     return changed.orderBy(F.desc("date")).limit(days)
