@@ -76,23 +76,22 @@ def positive_deltas(metrics: DataFrame) -> DataFrame:
     return metrics.filter(F.col("delta_52w_high") > 0).select("symbol", "delta_52w_high")
 
 
-def repair(
-    bars: DataFrame, adjusted: DataFrame, flagged: DataFrame
-) -> tuple[DataFrame, DataFrame]:
+def repair(bars: DataFrame, adjusted: DataFrame, flagged: DataFrame) -> DataFrame:
     """Overwrite prices and volume of flagged symbols from the adjusted feed.
 
-    Returns the repaired bars and a report (symbol, rows_updated, fixed); only rows that
-    really matched are counted.
+    Rows that found a match are marked ``_matched``.
     """
-    marked = keyed_update(
-        bars, adjusted.join(flagged, "symbol", "left_semi"), ["symbol", "date"], REPAIRED_COLUMNS
-    )
-    hits = marked.filter("_matched").groupBy("symbol").agg(F.count("*").alias("rows_updated"))
-    report = (
+    source = adjusted.join(flagged, "symbol", "left_semi")
+    return keyed_update(bars, source, ["symbol", "date"], REPAIRED_COLUMNS)
+
+
+def repair_report(repaired: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Rows updated per flagged symbol; only rows that really matched count."""
+    hits = repaired.filter("_matched").groupBy("symbol").agg(F.count("*").alias("rows_updated"))
+    return (
         flagged.select("symbol")
         .distinct()
         .join(hits, "symbol", "left")
         .withColumn("rows_updated", F.coalesce("rows_updated", F.lit(0)))
         .withColumn("fixed", F.col("rows_updated") > 0)
     )
-    return marked.drop("_matched"), report

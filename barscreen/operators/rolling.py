@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from ..functions.numeric import change_pct, true_range
+from ..session import checkpointed
 
 MAX_MONTH_ROWS = 31  # unique dates: no calendar month of a series is longer
-BROADCAST_ROWS = 200_000  # rows of the month map that may be broadcast (about 10 MB)
+BROADCAST_ROWS = 100_000  # a counted side of short rows up to this length is broadcast
 SHORT_ROWS = 16  # frames up to twice this length are scanned directly
 
 Build = Callable[[DataFrame, WindowSpec], DataFrame]
@@ -42,7 +43,7 @@ def over_series(
     """
     if block_rows is None:
         return build(df, Window.partitionBy(key).orderBy("date"))
-    months = _month_blocks(df, key, lookback, block_rows)
+    months = checkpointed(_month_blocks(df, key, lookback, block_rows))
     if months.count() <= BROADCAST_ROWS:
         months = F.broadcast(months)
     blocked = (

@@ -14,10 +14,11 @@ from ..operators.quality import (
     ohlc_violation_counts,
     ohlc_violations,
     repair,
+    repair_report,
 )
 from ..operators.upsert import insert_ignore, update_metadata, upsert, upsert_partial
 from ..schemas import TABLES
-from ..session import folder_exists, staged
+from ..session import checkpointed, folder_exists, staging
 from ..sources import readers
 from ..sources.store import Store
 
@@ -81,24 +82,28 @@ def store_metadata(store: Store, rows: DataFrame) -> int:
     return store.apply("fno_stocks", rows, update_metadata)
 
 
-def repaired(bars: DataFrame, adjusted: DataFrame, detector: str = "jumps"):
+def repaired(
+    bars: DataFrame, adjusted: DataFrame, detector: str = "jumps"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Detect, update and verify without writing.
 
     Returns (bars, report per flagged symbol, bad rows left per symbol) (K18).
     """
-    flagged = staged(DETECTORS[detector](bars), "flagged")
-    fixed, report = repair(bars, adjusted, flagged)
-    return fixed, report, ohlc_violation_counts(fixed)
+    flagged = checkpointed(DETECTORS[detector](bars))
+    marked = repair(bars, adjusted, flagged)
+    fixed = marked.drop("_matched")
+    return fixed, repair_report(marked, flagged), ohlc_violation_counts(fixed)
 
 
 def repair_store(store: Store, adjusted: DataFrame, detector: str = "jumps") -> DataFrame:
     """Repair the stored bars of flagged symbols and return the report."""
     bars = store.table("daily_ohlcv")
-    flagged = staged(DETECTORS[detector](bars), "flagged")
-    touched = bars.join(flagged, "symbol", "left_semi")
-    fixed, report = repair(touched, adjusted, flagged)
-    report = staged(report, "repair-report")
-    store_series(store, "daily_ohlcv", fixed)
+    flagged = checkpointed(DETECTORS[detector](bars))
+    with staging(store.spark, "repair") as stage:
+        touched = bars.join(flagged, "symbol", "left_semi")
+        marked = stage(repair(touched, adjusted, flagged), "marked")
+        report = checkpointed(repair_report(marked, flagged))
+        store_series(store, "daily_ohlcv", marked.filter("_matched").drop("_matched"))
     return report
 
 

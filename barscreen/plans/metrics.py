@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import change_pct, double, mean_price, pct_return, round_to
 from ..operators.bans import exclude_banned, mark_banned
 from ..operators.lookups import stock_info
-from ..operators.rolling import max_date, newest_rows
-from ..session import staged
+from ..operators.rolling import BROADCAST_ROWS, max_date, newest_rows
+from ..session import checkpointed
 from .screens import BENCHMARK
 
 # Look-backs in rows.
@@ -180,10 +180,11 @@ def sparkline(bars: DataFrame, n: int = YEAR_ROWS) -> DataFrame:
 
 def attach_sparkline(page: DataFrame, bars: DataFrame, n: int = YEAR_ROWS) -> DataFrame:
     """Add closes for the symbols of a page only; none gives an empty array."""
-    page = staged(page, "page")  # computed once for both joins; at most one page of rows
-    shown = bars.select("symbol", "date", "close").join(
-        F.broadcast(page.select("symbol")), "symbol", "left_semi"
-    )
+    page = checkpointed(page)  # computed once for both joins
+    symbols = page.select("symbol")
+    if page.count() <= BROADCAST_ROWS:
+        symbols = F.broadcast(symbols)
+    shown = bars.select("symbol", "date", "close").join(symbols, "symbol", "left_semi")
     joined = page.join(sparkline(shown, n), "symbol", "left")
     return joined.withColumn(
         "sparkline", F.coalesce("sparkline", F.array().cast("array<decimal(12,2)>"))

@@ -22,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage.
+
+    The files go with the DataFrame if ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/barscreen/{label}-{uuid.uuid4().hex}"

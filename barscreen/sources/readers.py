@@ -183,7 +183,7 @@ def index_ticker(index_name: Column | str) -> Column:
     """Ticker of a benchmark name, the main benchmark's for unknown names (A3)."""
     pairs = [F.lit(x) for pair in INDEX_TICKERS.items() for x in pair]
     name = F.col(index_name) if isinstance(index_name, str) else index_name
-    return F.coalesce(F.create_map(*pairs).getItem(name), F.lit(DEFAULT_TICKER))
+    return F.coalesce(F.create_map(*pairs)[name], F.lit(DEFAULT_TICKER))
 
 
 def adjusted_index(

@@ -226,7 +226,8 @@ def test_repair_leaves_nothing(spark):
 
 def test_repair_without_feed_fails(make, spark):
     bars = make("bars", series("T", [100, 50]))
-    _, report = quality.repair(bars, make("bars", []), quality.detect_jumps(bars))
+    flagged = quality.detect_jumps(bars)
+    report = quality.repair_report(quality.repair(bars, make("bars", []), flagged), flagged)
     assert [tuple(r) for r in report.collect()] == [("T", 0, False)]
 
 

@@ -54,14 +54,17 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         brand_symbol().alias("symbol"),
         F.col("l_shipdate").cast("date").alias("date"),
         cents.alias("px"),
-        # the price folded into the band 1000.00 to 1049.99
-        (cents % 5000 + 100000).alias("band"),
         F.col("l_quantity").cast("bigint").alias("qty"),
         (F.col("l_returnflag") != "R").alias("kept"),
         F.struct(*order, "l_quantity").alias("k"),
     )
 
 
+def _band(cents: Column | str) -> Column:
+    """A price in cents folded into the band 1000.00 to 1049.99."""
+    return (F.col(cents) if isinstance(cents, str) else cents) % 5000 + 100000
+
+
 def _price(cents: Column | str, kind: str = "decimal(12,2)") -> Column:
     """Cents as a price, multiplied in decimals."""
     c = F.col(cents) if isinstance(cents, str) else cents
@@ -74,14 +77,14 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return (
             trades(spark, sf_dir)
-            .groupBy("symbol", "date")
+            .groupBy("date", "symbol")  # the date decides most comparisons of the sort
             .agg(
-                F.min_by(F.struct("px", "band"), "k").alias("first"),
-                F.max_by(F.struct("px", "band"), "k").alias("final"),
+                F.min_by("px", "k").alias("first"),
+                F.max_by("px", "k").alias("final"),
                 F.max("px").alias("high"),
                 F.min("px").alias("low"),
-                F.max("band").alias("high_band"),
-                F.min("band").alias("low_band"),
+                F.max(_band("px")).alias("high_band"),
+                F.min(_band("px")).alias("low_band"),
                 F.sum("qty").alias("volume"),
                 F.sum("px").alias("value"),
                 F.count("*").cast("int").alias("trades"),
@@ -90,14 +93,14 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(
                 "symbol",
                 "date",
-                _price("first.px").alias("open"),
+                _price("first").alias("open"),
                 _price("high").alias("high"),
                 _price("low").alias("low"),
-                _price("final.px").alias("close"),
-                F.col("first.band").alias("open_band"),
+                _price("final").alias("close"),
+                _band("first").alias("open_band"),
                 "high_band",
                 "low_band",
-                F.col("final.band").alias("close_band"),
+                _band("final").alias("close_band"),
                 "volume",
                 _price("value", "decimal(18,2)").alias("value"),
                 "trades",
