@@ -54,7 +54,7 @@ class CollectReport:
     rows: dict[str, int] = field(default_factory=dict)
 
 
-def store_master(store: Store, rows: DataFrame) -> int:
+def store_master(store: Store, rows: DataFrame) -> dict[str, int]:
     """Upsert names and lot sizes, keep sector, industry and segment."""
     return store.apply(
         "fno_stocks",
@@ -62,24 +62,26 @@ def store_master(store: Store, rows: DataFrame) -> int:
         lambda old, new: upsert_partial(
             old, new, ["symbol"], ["company_name", "lot_size"], stamp="last_updated"
         ),
+        {"with_lot_size": F.col("lot_size") > 0},
     )
 
 
 def store_series(store: Store, name: str, rows: DataFrame) -> int:
     """Upsert stock or index bars."""
     keys = list(TABLES[name].keys)
-    return store.apply(name, rows, lambda old, new: upsert(old, new, keys))
+    return store.apply(name, rows, lambda old, new: upsert(old, new, keys))["rows"]
 
 
 def store_bans(store: Store, rows: DataFrame) -> int:
     """Add ban rows that are not stored yet."""
     keys = ["trade_date", "symbol"]
-    return store.apply("fno_ban_period", rows, lambda old, new: insert_ignore(old, new, keys))
+    added = store.apply("fno_ban_period", rows, lambda old, new: insert_ignore(old, new, keys))
+    return added["rows"]
 
 
 def store_metadata(store: Store, rows: DataFrame) -> int:
     """Fill missing industry and segment."""
-    return store.apply("fno_stocks", rows, update_metadata)
+    return store.apply("fno_stocks", rows, update_metadata)["rows"]
 
 
 def repaired(
@@ -160,7 +162,9 @@ def collect_all(
             lots = readers.lot_sizes(readers.read_instruments(spark, instruments))
         else:
             lots = spark.createDataFrame([], "symbol string, lot_size int")
-        report.rows["fno_stocks"] = store_master(store, readers.master_rows(stocks, lots))
+        stored = store_master(store, readers.master_rows(stocks, lots))
+        report.rows["fno_stocks"] = stored["rows"]
+        report.rows["with_lot_size"] = stored["with_lot_size"]
 
     equity = landing.find(spark, "equity")
     if equity:
@@ -168,8 +172,12 @@ def collect_all(
         rows = readers.between(rows, start, end)
         listed = store.table("fno_stocks").select("symbol")
         rows = rows.join(listed, "symbol", "left_semi")
-        rows = new_rows_only(rows, store.table("daily_ohlcv"))
-        report.rows["daily_ohlcv"] = store_series(store, "daily_ohlcv", rows)
+        with staging(spark, "new-bars") as stage:
+            rows = stage(new_rows_only(rows, store.table("daily_ohlcv")), "rows")
+            loaded = rows.select("symbol").distinct().count()
+            report.rows["symbols_loaded"] = loaded
+            report.rows["symbols_without_rows"] = listed.count() - loaded
+            report.rows["daily_ohlcv"] = store_series(store, "daily_ohlcv", rows)
 
     adjusted = landing.find(spark, "adjusted")
     if adjusted:

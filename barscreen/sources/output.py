@@ -16,11 +16,11 @@ def camel(name: str) -> str:
 
 
 def to_api_records(df: DataFrame) -> DataFrame:
-    """Camel-case names, numbers as doubles, dates as text, NULL kept."""
+    """Camel-case names, prices and amounts as doubles, dates as text, NULL kept."""
     columns = []
     for f in df.schema:
         c = F.col(f.name)
-        if isinstance(f.dataType, T.NumericType):
+        if isinstance(f.dataType, T.NumericType) and not isinstance(f.dataType, T.IntegerType):
             c = c.cast("double")
         elif isinstance(f.dataType, (T.DateType, T.TimestampType)):
             c = c.cast("string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,9 @@ from ..session import folder_exists, staging
 
 MONTH = "month"
 
+Merge = Callable[[DataFrame, DataFrame], DataFrame]
+Stage = Callable[[DataFrame, str], DataFrame]
+
 
 class Store:
     """Reads tables and applies keyed writes.
@@ -42,20 +45,26 @@ class Store:
         """A stored table; empty with the declared schema before its first write."""
         return self._stored(TABLES[name]).select(*TABLES[name].schema.names)
 
-    def apply(self, name: str, batch: DataFrame, merge: Callable[..., DataFrame]) -> int:
-        """Replace the touched part of a table by ``merge(stored, batch)``; returns batch rows.
+    def apply(
+        self, name: str, batch: DataFrame, merge: Merge, counters: dict[str, Column] | None = None
+    ) -> dict[str, int]:
+        """Replace the touched part of a table by ``merge(stored, batch)``.
 
-        The merged rows are staged first: no folder is overwritten while it is read, and a
-        write that fails half-way is completed by running the same batch again.
+        Returns the number of batch rows and of those that meet each counter's condition. The
+        merged rows are staged first: no folder is overwritten while it is read, and a write
+        that fails half-way is completed by running the same batch again.
         """
+        rules = {"rows": F.lit(True), **(counters or {})}
+        seen = Observation()
+        counted = batch.observe(seen, *(F.count_if(rule).alias(c) for c, rule in rules.items()))
         with staging(self.spark, name) as stage:
-            batch = stage(batch, "batch")
-            rows = batch.count()
-            if rows:
-                self._replace(TABLES[name], batch, merge, stage)
-        return rows
+            landed = stage(counted, "batch")
+            counts = {c: seen.get[c] for c in rules}
+            if counts["rows"]:
+                self._replace(TABLES[name], landed, merge, stage)
+        return counts
 
-    def _replace(self, table: Table, batch: DataFrame, merge, stage) -> None:
+    def _replace(self, table: Table, batch: DataFrame, merge: Merge, stage: Stage) -> None:
         stored, path = self._stored(table), self.path(table.name)
         if not table.date_column:
             stage(merge(stored, batch), "merged").write.mode("overwrite").parquet(path)

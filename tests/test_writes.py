@@ -282,6 +282,8 @@ def landing(tmp_path):
 def test_collect_all(spark, landing, store):
     report = jobs.collect_all(spark, landing, store, today=day(10))
     assert report.rows["daily_ohlcv"] == 6
+    assert (report.rows["fno_stocks"], report.rows["with_lot_size"]) == (2, 1)
+    assert (report.rows["symbols_loaded"], report.rows["symbols_without_rows"]) == (2, 0)
     assert (report.rows["repaired"], report.rows["repair_failed"]) == (1, 0)
     bars = store.table("daily_ohlcv")
     closes = pairs(bars.withColumn("c", F.col("close").cast("int")), "symbol", "date", "c")
