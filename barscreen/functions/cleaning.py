@@ -58,28 +58,29 @@ def parse_date(c: Column | str) -> Column:
     return parsed
 
 
-def _number(c: Column | str) -> Column:
-    # commas are thousands marks; '-' and other junk fail the cast and become NULL
-    text = F.trim(F.regexp_replace(col(c).cast("string"), ",", ""))
-    return F.nanvl(text.try_cast("double"), F.lit(None).cast("double"))
+def _digits(c: Column | str) -> Column:
+    """Text of a number without thousands marks; '-' and other junk fail the cast after it."""
+    return F.trim(F.replace(col(c).cast("string"), F.lit(","), F.lit("")))
 
 
-def _fallback(on_bad: str) -> Column:
+def _or_fallback(c: Column, kind, on_bad: str) -> Column:
     if on_bad not in ("zero", "null"):
         raise ValueError(f"on_bad must be 'zero' or 'null', not {on_bad!r}")
-    return F.lit(0 if on_bad == "zero" else None)
+    return F.coalesce(c, F.lit(0).cast(kind)) if on_bad == "zero" else c
 
 
 def clean_double(c: Column | str, on_bad: str = "zero") -> Column:
     """Text to double; unusable cells become 0 or NULL."""
-    return F.coalesce(_number(c), _fallback(on_bad).cast("double"))
+    number = F.nanvl(_digits(c).try_cast("double"), F.lit(None).cast("double"))
+    return _or_fallback(number, "double", on_bad)
 
 
 def clean_long(c: Column | str, on_bad: str = "zero") -> Column:
     """Text to bigint, fraction cut off towards zero."""
-    return F.coalesce(_number(c).try_cast("bigint"), _fallback(on_bad).cast("bigint"))
+    whole = _digits(c).try_cast("decimal(38,18)").try_cast("bigint")
+    return _or_fallback(whole, "bigint", on_bad)
 
 
 def clean_decimal(c: Column | str, kind, on_bad: str = "zero") -> Column:
     """Text to a stored decimal; a value too large for it counts as unusable."""
-    return F.coalesce(_number(c).try_cast(kind), _fallback(on_bad).cast(kind))
+    return _or_fallback(_digits(c).try_cast(kind), kind, on_bad)

@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import TABLES, Table
-from ..session import folder_exists, staging
+from ..session import delete_folder, folder_exists, staging
 
 MONTH = "month"
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
-Stage = Callable[[DataFrame, str], DataFrame]
 
 
 class Store:
-    """Reads tables and applies keyed writes.
+    """Reads tables and applies keyed writes; one writer per table at a time.
 
     Time series are partitioned by month, and a write replaces only the months it touches.
     """
@@ -28,16 +27,17 @@ class Store:
         self.root = root.rstrip("/")
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{TABLES[name].name}"
+        return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
-        return folder_exists(self.spark, self.path(name))
+    def pending_path(self, name: str) -> str:
+        """Merged rows on their way into the table; Spark skips folders with an underscore."""
+        return f"{self.root}/_pending/{name}"
 
     def _stored(self, table: Table) -> DataFrame:
         schema = table.schema
         if table.date_column:
             schema = T.StructType([*schema.fields, T.StructField(MONTH, T.IntegerType())])
-        if not self.exists(table.name):
+        if not folder_exists(self.spark, self.path(table.name)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(table.name))
 
@@ -51,9 +51,10 @@ class Store:
         """Replace the touched part of a table by ``merge(stored, batch)``.
 
         Returns the number of batch rows and of those that meet each counter's condition. The
-        merged rows are staged first: no folder is overwritten while it is read, and a write
-        that fails half-way is completed by running the same batch again.
+        merged rows are written aside first, so that no folder is overwritten while it is read
+        and a write that broke off is finished by the next one (or by ``recover``).
         """
+        self.recover(name)
         rules = {"rows": F.lit(True), **(counters or {})}
         seen = Observation()
         counted = batch.observe(seen, *(F.count_if(rule).alias(c) for c, rule in rules.items()))
@@ -61,24 +62,41 @@ class Store:
             landed = stage(counted, "batch")
             counts = {c: seen.get[c] for c in rules}
             if counts["rows"]:
-                self._replace(TABLES[name], landed, merge, stage)
+                merged = merge(self._touched(TABLES[name], landed), landed)
+                merged.write.mode("overwrite").parquet(self.pending_path(name))
+                self.recover(name)
         return counts
 
-    def _replace(self, table: Table, batch: DataFrame, merge: Merge, stage: Stage) -> None:
-        stored, path = self._stored(table), self.path(table.name)
+    def _touched(self, table: Table, batch: DataFrame) -> DataFrame:
+        """Stored rows of the months that occur in the batch."""
+        stored = self._stored(table)
         if not table.date_column:
-            stage(merge(stored, batch), "merged").write.mode("overwrite").parquet(path)
-            return
-        month = F.year(table.date_column) * 100 + F.month(table.date_column)
+            return stored
+        months = batch.select(_month(table).alias(MONTH)).distinct()
         # calendar months: twelve values per year of data
-        touched = [r[0] for r in batch.select(month.alias(MONTH)).distinct().collect()]
-        stored = stored.filter(F.col(MONTH).isin(touched)).drop(MONTH)
-        merged = stage(merge(stored, batch), "merged").withColumn(MONTH, month)
-        (
-            merged.hint("rebalance", F.col(MONTH))
-            .sortWithinPartitions(MONTH, *table.keys)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(MONTH)
-            .parquet(path)
-        )
+        found = [row[0] for row in months.collect()]
+        return stored.filter(F.col(MONTH).isin(found)).drop(MONTH)
+
+    def recover(self, name: str) -> None:
+        """Move complete pending rows into the table."""
+        table, pending = TABLES[name], self.pending_path(name)
+        if not folder_exists(self.spark, f"{pending}/_SUCCESS"):
+            return
+        rows = self.spark.read.schema(table.schema).parquet(pending)
+        if table.date_column:
+            rows = rows.withColumn(MONTH, _month(table))
+            (
+                rows.hint("rebalance", F.col(MONTH))
+                .sortWithinPartitions(MONTH, *table.keys)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(MONTH)
+                .parquet(self.path(name))
+            )
+        else:
+            rows.write.mode("overwrite").parquet(self.path(name))
+        delete_folder(self.spark, pending)
+
+
+def _month(table: Table) -> Column:
+    return F.year(table.date_column) * 100 + F.month(table.date_column)

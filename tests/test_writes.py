@@ -180,6 +180,31 @@ def test_a_batch_rewrites_only_its_months(make, store, tmp_path):
     assert store.table("daily_ohlcv").count() == 60
 
 
+def test_a_broken_off_write_is_finished_by_the_next_one(make, store, spark, monkeypatch):
+    jobs.store_series(store, "daily_ohlcv", make("bars", series("A", [1, 2, 3])))
+    publish = Store.recover
+    with monkeypatch.context() as patch:
+        # the job dies once the merged rows are complete but before they are in the table
+        calls = iter([None, RuntimeError("lost driver")])
+
+        def dies(self, name):
+            error = next(calls)
+            if error:
+                raise error
+            publish(self, name)
+
+        patch.setattr(Store, "recover", dies)
+        with pytest.raises(RuntimeError):
+            jobs.store_series(store, "daily_ohlcv", make("bars", series("A", [9])))
+    store.spark._jvm.org.apache.hadoop.fs.FileSystem.getLocal(
+        spark._jsc.hadoopConfiguration()
+    ).delete(spark._jvm.org.apache.hadoop.fs.Path(store.path("daily_ohlcv") + "/month=202501"), True)
+    jobs.store_series(store, "daily_ohlcv", make("bars", series("B", [4])))
+    got = pairs(store.table("daily_ohlcv").withColumn("c", F.col("close").cast("int")),
+                "symbol", "date", "c")
+    assert got == [("A", day(0), 9), ("A", day(1), 2), ("A", day(2), 3), ("B", day(0), 4)]
+
+
 def test_read_equity_names_symbol_from_file(spark, tmp_path):
     header = HEADER.removeprefix("symbol,")
     body = line("X", "01-Jan-2025", 100).removeprefix("X,")
