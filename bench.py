@@ -45,7 +45,7 @@ def main() -> None:
 
     seconds: dict[str, float] = {}
     start = time.perf_counter()
-    for build in (tables.bars, tables.index, tables.master, tables.adjusted):
+    for build in (tables.bars, tables.index, tables.master):
         build(spark, sf_dir)
     for land in (tables.equity_landing, tables.adjusted_landing, tables.metadata_landing):
         land(spark, sf_dir)

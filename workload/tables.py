@@ -72,17 +72,22 @@ def _price(cents: Column | str, kind: str = "decimal(12,2)") -> Column:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per symbol and date: the only pass over the line items."""
+    """One row per symbol and date, with plain and folded prices: the only pass over the lines."""
+
+    def with_lags(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rows.withColumns(
+            {c: F.lag(c.removeprefix("prev_")).over(w) for c in ("prev_close", "prev_close_band")}
+        )
 
     def build() -> DataFrame:
-        return (
+        per_day = (
             trades(spark, sf_dir)
             .groupBy("date", "symbol")  # the date decides most comparisons of the sort
             .agg(
-                F.min_by("px", "k").alias("first"),
-                F.max_by("px", "k").alias("final"),
+                F.min_by("px", "k").alias("open"),
                 F.max("px").alias("high"),
                 F.min("px").alias("low"),
+                F.max_by("px", "k").alias("close"),
                 F.max(_band("px")).alias("high_band"),
                 F.min(_band("px")).alias("low_band"),
                 F.sum("qty").alias("volume"),
@@ -90,52 +95,34 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.count("*").cast("int").alias("trades"),
                 F.sum(F.when(F.col("kept"), F.col("qty")).otherwise(0)).alias("delivery_volume"),
             )
-            .select(
-                "symbol",
-                "date",
-                _price("first").alias("open"),
-                _price("high").alias("high"),
-                _price("low").alias("low"),
-                _price("final").alias("close"),
-                _band("first").alias("open_band"),
-                "high_band",
-                "low_band",
-                _band("final").alias("close_band"),
-                "volume",
-                _price("value", "decimal(18,2)").alias("value"),
-                "trades",
-                "delivery_volume",
-            )
+            .withColumns({"open_band": _band("open"), "close_band": _band("close")})
+        )
+        cents = ("open", "high", "low", "close", "prev_close")
+        # ratios are rounded before they become decimals
+        value = _price("value", "decimal(18,2)")
+        delivered = ratio(F.col("delivery_volume") * 100, "volume")
+        return over_series(per_day, 1, with_lags).withColumns(
+            {
+                "series": F.lit("EQ"),
+                **{c: _price(c) for c in cents},
+                **{f"{c}_band": _price(f"{c}_band") for c in cents},
+                "value": value,
+                "vwap": round_to(ratio(value, "volume")).cast("decimal(12,2)"),
+                "delivery_pct": round_to(delivered).cast("decimal(6,2)"),
+            }
         )
 
     return _once(spark, sf_dir, "daily", build)
 
 
-def _with_prev_close(df: DataFrame) -> DataFrame:
-    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return rows.withColumn("prev_close", F.lag("close").over(w))
-
-    return over_series(df, 1, build)
-
-
-def _as_bars(df: DataFrame) -> DataFrame:
-    """Complete the stored bar columns; ratios are rounded before they become decimals."""
-    return df.withColumns(
-        {
-            "series": F.lit("EQ"),
-            "vwap": round_to(ratio("value", "volume")).cast("decimal(12,2)"),
-            "delivery_pct": round_to(ratio(F.col("delivery_volume") * 100, "volume")).cast(
-                "decimal(6,2)"
-            ),
-        }
-    ).select(*BARS.names)
-
-
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build() -> DataFrame:
-        return _as_bars(_with_prev_close(daily(spark, sf_dir)))
+    return daily(spark, sf_dir).select(*BARS.names)
 
-    return _once(spark, sf_dir, "bars", build)
+
+def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the second source: prices folded into a band, so no day jumps by 30 %."""
+    folded = {c: F.col(f"{c}_band") for c in ("open", "high", "low", "close", "prev_close")}
+    return daily(spark, sf_dir).withColumns(folded).select(*BARS.names)
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +130,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         per_date = (
-            daily(spark, sf_dir)
+            bars(spark, sf_dir)
             .filter(F.dayofweek("date") != 1)
             .groupBy("date")
             .agg(
@@ -192,17 +179,6 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "master", build)
 
 
-def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of the second source: prices folded into a band, so no day jumps by 30 %."""
-
-    def build() -> DataFrame:
-        rows = daily(spark, sf_dir)
-        priced = rows.withColumns({c: _price(f"{c}_band") for c in ("open", "high", "low", "close")})
-        return _as_bars(_with_prev_close(priced))
-
-    return _once(spark, sf_dir, "adjusted", build)
-
-
 def quality_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The adjusted bars with two unadjusted splits and one symbol with broken closes.
 
