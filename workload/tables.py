@@ -36,6 +36,11 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
     return _STORED[key]
 
 
+def forget() -> None:
+    """Build every table anew on its next use."""
+    _STORED.clear()
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
