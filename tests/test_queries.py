@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from conftest import SF_DIR
 from workload import tables as t
-
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +37,8 @@ def test_query_matches_oracle(spark, oracle, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 def test_entry(spark):
