@@ -11,14 +11,37 @@ from . import (
     embedding_dedup,
     language_gru,
     length_buckets,
+    license_scan,
     line_dedup,
     parity_join,
+    quality_crf,
+    secret_grammar,
+    token_transducer,
 )
 from .common import given
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.documents_scan(given(spark, sf_dir, "documents"))
+
+
+def op2_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_grammar.find_secrets(given(spark, sf_dir, "documents"))
+
+
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
+
+
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similar_documents(given(spark, sf_dir, "documents"))
 
@@ -35,6 +58,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_gru.identify(given(spark, sf_dir, "documents"))
 
 
+def op8_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_transducer.token_counts(given(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
 
@@ -46,10 +73,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
+        op2_secret_grammar,
+        op3_quality_crf,
         op4_parity_join,
         op5_length_buckets,
         op6_line_dedup,
         op7_language_id,
+        op8_token_transducer,
         op9_decontamination,
         op10_embedding_dedup,
     )
