@@ -16,6 +16,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,8 @@ from ..session import staged
 from .common import utf8
 from .components import connected_components
 
-SPARE = 2  # blocks beyond the pigeonhole bound, so that empty blocks need not be keys
+SMALL = 32  # members of a key that are paired row by row; larger keys are compared in blocks
+BLOCK = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CACHED_WORDS = 500_000
 
@@ -95,21 +97,20 @@ def shingle_hashes(text: bytes, width: int, words: _WordHashes) -> np.ndarray:
 
 def _blocks(shingles: np.ndarray, band: int, percent: int) -> np.ndarray:
     """The join keys of a set in a band: every block's XOR, mixed with its place."""
-    different = most_different(band, percent)
-    count = different + 1 + (SPARE if different else 0)
+    count = most_different(band, percent) + 1
     # a range of hashes for each block: the sorted shingles of a block lie side by side
     place = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
     used, starts = np.unique(place, return_index=True)
     keys = np.bitwise_xor.reduceat(shingles, starts)
-    if count - len(used) > SPARE:  # the pigeonhole may be an empty block
+    if len(used) < count:  # an empty block is as good as any other
         empty = np.setdiff1d(np.arange(count, dtype=np.uint64), used)
         used, keys = np.concatenate([used, empty]), np.concatenate([keys, np.zeros(len(empty), np.uint64)])
     return _mix(keys ^ ((used + np.uint64(band << 40)) * _ODD))
 
 
 def _bits(shingles: np.ndarray, band: int) -> np.ndarray:
-    """About as many bits as a set of the band has shingles; each shingle flips one."""
-    words = -(-_STARTS[band + 1] // 64)
+    """Four bits for each shingle that a set of the band may have; each shingle flips one."""
+    words = -(-4 * _STARTS[band + 1] // 64)
     flips = np.bincount((_mix(shingles ^ _ODD) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -174,24 +175,84 @@ def _similar(a: Column, b: Column, shared: Column, percent: int) -> Column:
     return 100 * shared >= percent * (a + b - shared)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (u, v, band) of class ids whose sets are similar."""
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v, band) of class ids that size and Hamming distance allow to be similar."""
     ends = classes.select("id", "band", "n", "bits")
     a = ends.select(F.col("id").alias("u"), "band", F.col("n").alias("nu"), F.col("bits").alias("bu"))
     b = ends.select(F.col("id").alias("v"), "band", F.col("n").alias("nv"), F.col("bits").alias("bv"))
-    total = F.col("nu") + F.col("nv")
     hamming = F.aggregate(
         F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
-    near = (
+    return (
         pairs.join(a, ["u", "band"])
         .join(b, ["v", "band"])
         .filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-        .filter((100 + percent) * hamming <= (100 - percent) * total)
+        .filter((100 + percent) * hamming <= (100 - percent) * (F.col("nu") + F.col("nv")))
         .select("u", "v")
-        .distinct()
     )
-    near = staged(near, "candidates")
+
+
+def _compare(percent: int):
+    """Pairs inside two blocks of a key that are in different components and may be similar."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+        bits = np.array(rows["bits"].tolist(), np.int64).view(np.uint64)
+        n, ids, component = (rows[c].to_numpy() for c in ("n", "id", "component"))
+        left = np.flatnonzero(rows["block"].to_numpy() == low)
+        right = np.flatnonzero(rows["block"].to_numpy() == high)
+        found = []
+        for i in left:
+            total = n[i] + n[right]
+            open_ = (component[i] != component[right]) & (
+                100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
+            )
+            at = right[open_]
+            hamming = np.bitwise_count(bits[i] ^ bits[at]).sum(axis=1, dtype=np.int64)
+            near = at[(100 + percent) * hamming <= (100 - percent) * total[open_]]
+            found.append(pd.DataFrame({"u": np.minimum(ids[i], ids[near]), "v": np.maximum(ids[i], ids[near])}))
+        out = pd.concat(found) if found else pd.DataFrame({"u": ids[:0], "v": ids[:0]})
+        return out.drop_duplicates()
+
+    return compare
+
+
+def _open_pairs(keyed: DataFrame, hubs: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one key that no hub has tested, that are in different components and may be similar."""
+    placed = (
+        keyed.join(hubs.filter("members > 2").select("key", "hub"), "key")
+        .filter("id != hub")
+        .join(found.withColumnRenamed("node", "id"), "id", "left")
+        .select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    )
+    placed = staged(placed, "placed")
+    apart = placed.groupBy("key").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")
+    )
+    open_ = placed.join(apart.filter("a < b").select("key", "members"), "key")
+    open_ = staged(open_, "open")
+    left = open_.filter(F.col("members") <= SMALL)
+    right = left.select("key", F.col("id").alias("v"), F.col("component").alias("other"))
+    few = left.join(right, "key").filter("id < v AND component != other")
+    few = _near(few.select(F.col("id").alias("u"), "v", "band").distinct(), classes, percent)
+    blocks = F.ceil(F.col("members") / BLOCK)
+    # each member meets every block of its key: blocks, not members, are paired
+    many = (
+        open_.filter(F.col("members") > SMALL)
+        .withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        .select("key", "band", "id", "component", "block", "low", "high")
+        .join(classes.select("id", "band", "n", "bits"), ["id", "band"])
+        .groupBy("key", "low", "high")
+        .applyInPandas(_compare(percent), "u bigint, v bigint")
+    )
+    return few.unionAll(many).distinct()
+
+
+def _verified(near: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (u, v) of class ids whose sets are similar. ``near`` is a stored table."""
     wanted = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     texts = docs.join(wanted, "id", "left_semi").select("id", "text")
     known = classes.filter("own").select("id", "n", "sum", "parity")
@@ -207,27 +268,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     )
 
 
-def _open_pairs(keyed: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of one key that no hub has tested and that are not in one component yet."""
-    component = F.coalesce("component", "id")
-    placed = (
-        keyed.join(hubs.filter("members > 2").select("key", "hub"), "key")
-        .filter("id != hub")
-        .join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "band", "id", component.alias("component"))
-    )
-    placed = staged(placed, "open")
-    apart = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    left = placed.join(apart.filter("a < b").select("key"), "key", "left_semi")
-    right = left.select("key", F.col("id").alias("v"), F.col("component").alias("other"))
-    return (
-        left.join(right, "key")
-        .filter("id < v AND component != other")
-        .select(F.col("id").alias("u"), "v", "band")
-        .distinct()
-    )
-
-
 def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -238,7 +278,8 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3) -> Dat
 
     Equal sets form a class that joins as one. Every key links its members to one hub first,
     which puts a large group of near copies together in linear work; members of a key that are
-    still apart are then compared with each other. Nothing is capped or dropped.
+    still apart are then compared with each other by their sketches, those of large keys in
+    blocks of bounded size. Nothing is capped or dropped.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     rows = staged(sketches(texts, percent, width), "sketches")
@@ -259,9 +300,10 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3) -> Dat
         .select(F.col("hub").alias("u"), F.col("id").alias("v"), "band")
         .distinct()
     )
-    links = staged(_verified(spokes, classes, texts, percent, width), "links")
+    near = staged(_near(spokes, classes, percent).distinct(), "near")
+    links = staged(_verified(near, classes, texts, percent, width), "links")
     found = connected_components(links, "u", "v")
-    rest = staged(_open_pairs(keyed, hubs, found), "rest")
+    rest = staged(_open_pairs(keyed, hubs, found, classes, percent), "rest")
     if not rest.isEmpty():
         more = staged(_verified(rest, classes, texts, percent, width), "links")
         found = connected_components(links.unionAll(more), "u", "v")
