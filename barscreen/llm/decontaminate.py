@@ -19,7 +19,9 @@ from .common import ascii_lower
 
 WINDOW = 13
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_SMALL = 200_000  # rows of a checked table that may be broadcast; the other way is a shuffle
+# rows of a counted table that may be broadcast, and numbers alone; beyond it is a shuffle
+_SMALL = 200_000
+_SMALL_KEYS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -145,9 +147,12 @@ def phrase_matches(index: Index, plan: Plan, window: int = WINDOW) -> DataFrame:
             ),
         )
 
+    candidates = staged(candidates, "candidates")
+    rows = index.rows.select("row", "words")
+    if candidates.count() <= _SMALL_KEYS:  # else all words are shuffled to the candidates
+        rows = rows.join(F.broadcast(candidates.select("row")), "row", "left_semi")
     return (
-        index.rows.select("row", "words")
-        .join(candidates, "row")
+        rows.join(candidates, "row")
         .select("row", F.explode(F.flatten(F.transform("candidates", verified))).alias("m"))
         .select("row", "m.*")
     )
