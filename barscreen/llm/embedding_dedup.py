@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from ..session import staged
 from .components import connected_components
 
 BLOCK = 1024
+SMALL, BUNDLE = 32, 4096  # members of a small bucket; rows of small buckets worked on together
+BUCKET = ["label", "size", "table", "code"]
 OUT = "id bigint, links bigint, low bigint"
 
 
@@ -70,34 +73,40 @@ def _lowest(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    """Counts links inside one pair of blocks of a bucket, and joins what is linked.
+    """Counts and joins what is linked in a bundle: a part of one large bucket, or small buckets.
 
-    A pair that meets in several tables counts in the first one only.
+    A pair that met in an earlier table isn't counted again.
     """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        table, low, high = (int(rows[c].iloc[0]) for c in ("table", "low", "high"))
+        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+        rows = rows.sort_values([*BUCKET, "id"], ignore_index=True)
+        names = rows[BUCKET].to_numpy()
+        bounds = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
         vectors = np.array(rows["vector"].tolist(), np.float64)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         all_codes = np.array(rows["codes"].tolist())
-        copies = rows["copies"].to_numpy()
-        block = rows["block"].to_numpy()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        copies, block, tables = (rows[c].to_numpy() for c in ("copies", "block", "table"))
         links = np.zeros(len(rows), np.int64)
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(0, len(left), 256):
-            part = left[i : i + 256]
-            a, b = np.nonzero(vectors[part] @ vectors[right].T >= threshold)
-            a, b = part[a], right[b]
-            if low == high:
-                a, b = a[a < b], b[a < b]
-            ends.append((a, b))
-            first = ~(all_codes[a, :table] == all_codes[b, :table]).any(axis=1)
-            np.add.at(links, a[first], copies[b[first]])
-            np.add.at(links, b[first], copies[a[first]])
-        a, b = (np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (left[:0], left[:0])
+        ends = [(bounds[:0], bounds[:0])]
+        for begin, end in pairwise([0, *bounds.tolist(), len(rows)]):
+            left = begin + np.flatnonzero(block[begin:end] == low)
+            right = begin + np.flatnonzero(block[begin:end] == high)
+            for i in range(0, len(left), 256):
+                part = left[i : i + 256]
+                a, b = np.nonzero(vectors[part] @ vectors[right].T >= threshold)
+                a, b = part[a], right[b]
+                if low == high:
+                    a, b = a[a < b], b[a < b]
+                if len(a):
+                    ends.append((a, b))
+                    table = tables[begin]
+                    first = ~(all_codes[a, :table] == all_codes[b, :table]).any(axis=1)
+                    np.add.at(links, a[first], copies[b[first]])
+                    np.add.at(links, b[first], copies[a[first]])
+        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
         ids = rows["id"].to_numpy()
+        # rows of a bucket lie in the order of their ids, so the lowest row has the lowest id
         out = pd.DataFrame({"id": ids, "links": links, "low": ids[_lowest(len(ids), a, b)]})
         return out[(out["links"] > 0) | (out["low"] != out["id"])]
 
@@ -134,20 +143,23 @@ def near_duplicates(
     signs, tables = plan_tables(compared.count(), threshold, miss)
     coded = staged(_with_codes(compared.withColumn("size", F.size("vector")), signs, tables), "codes")
     keys = coded.select("id", "label", "size", F.posexplode("codes").alias("table", "code"))
-    bucket = ["label", "size", "table", "code"]
-    shared = keys.groupBy(*bucket).agg(F.count("*").alias("members")).filter("members > 1")
+    shared = staged(keys.groupBy(*BUCKET).agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
+    rows_of_small = shared.filter(F.col("members") <= SMALL).agg(F.sum("members")).first()[0] or 0
+    name = F.xxhash64(*BUCKET)
+    small = F.pmod(name, F.lit(rows_of_small // BUNDLE + 1))
     blocks = F.ceil(F.col("members") / block)
     # each member meets every block of its bucket: blocks, not members, are paired
     members = (
-        keys.join(shared, bucket)
+        keys.join(shared, BUCKET)
         .withColumn("block", F.pmod(F.xxhash64("id"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .select("id", "table", "code", "block", "low", "high")
+        .withColumn("bundle", F.when(F.col("members") <= SMALL, small).otherwise(name))
+        .select("id", "table", "code", "bundle", "block", "low", "high")
         .join(coded, "id")
     )
     found = staged(
-        members.groupBy(*bucket, "low", "high").applyInPandas(_compare(threshold), OUT), "compared"
+        members.groupBy("size", "bundle", "low", "high").applyInPandas(_compare(threshold), OUT), "compared"
     )
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found, "id", "low").withColumnRenamed("node", "id")
