@@ -29,7 +29,7 @@ from .components import connected_components
 SMALL = 32  # members of a key that are paired row by row; larger keys are compared in blocks
 BLOCK = 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 150_000
 
 SKETCH = (
     "id bigint, n bigint, sum bigint, parity bigint, own boolean, band int, "
