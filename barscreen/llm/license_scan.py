@@ -95,14 +95,14 @@ def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             }
         ).select(
             "template", "license", "term", "idf",
-            (F.col("w") / F.sqrt("square")).alias("part"),
+            F.try_divide("w", F.sqrt("square")).alias("part"),
             (F.col("common") >= F.lit(threshold * threshold * (1 - 1e-9)) * F.col("square")).alias("anchor"),
         ),
         "templates",
     )
     # the templates are fixed: these lists are no longer than their words
     anchors = [r["term"] for r in weighted.filter("anchor").select("term").distinct().sort("term").collect()]
-    candidates = lines.filter(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in anchors])))
+    candidates = lines.filter(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in anchors]).cast("array<string>")))
     idf = weighted.groupBy("term").agg(F.first("idf").alias("idf"))
     parts = (
         candidates.select("path", "pos", F.explode("terms").alias("term"))
@@ -122,7 +122,7 @@ def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return (
         dots.join(norms, ["path", "pos"])
         # rounded before it is compared, so that the order of a sum can't decide
-        .withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+        .withColumn("score", F.round(F.try_divide("dot", "norm"), 6))
         .filter(F.col("score") >= threshold)
         .groupBy("path", "pos")
         .agg(best.alias("license"), F.max("score").alias("score"))
