@@ -19,6 +19,9 @@ from . import (
     token_transducer,
 )
 from .common import given
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 def tokenizer(name: str) -> str:
     """The path of a public tokenizer's file, the same on every machine."""
@@ -85,5 +88,3 @@ QUERIES: dict[str, Query] = {
         op10_embedding_dedup,
     )
 }
-
-ORACLE: dict[str, str] = {}

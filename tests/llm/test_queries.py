@@ -1,0 +1,38 @@
+"""Registered corpus queries against SQL, and the pipeline end to end, on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from barscreen.llm.queries import ORACLE, QUERIES
+from conftest import SF_DIR
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    con = duckdb.connect()
+    for file in os.listdir(SF_DIR):
+        con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS FROM '{SF_DIR}/{file}'")
+    return con
+
+
+@pytest.mark.parametrize("name", list(ORACLE))
+def test_query_matches_oracle(spark, oracle, name):
+    df = QUERIES[name](spark, SF_DIR)
+    columns = sorted(df.columns)
+    ours = sorted(map(tuple, df.select(columns).collect()), key=repr)
+    theirs = oracle.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE[name]})").fetchall()
+    assert ours == sorted(theirs, key=repr)
+
+
+def test_pipeline_keeps_the_columns_and_packs_everything(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, left, SF_DIR)
+        assert out.columns == docs.columns
+        left = out
+    packed = corpus_pipeline.run(spark, SF_DIR)
+    assert packed.select("doc_id").distinct().count() == left.select("doc_id").distinct().count() > 0
