@@ -107,9 +107,14 @@ class _State:
 
 
 class Automaton:
-    """A probabilistic deterministic automaton, inferred from strings by state merging."""
+    """A probabilistic deterministic automaton, inferred from strings by state merging.
 
-    def __init__(self, strings: list[str], alpha: float) -> None:
+    Moves that fewer than ``support`` strings took are forgotten, lest a rare one be learned by
+    heart.
+    """
+
+    def __init__(self, strings: list[str], alpha: float, support: int = 1) -> None:
+        self.support = support
         self.states = [_State()]
         for s in strings:
             self._add(s)
@@ -200,7 +205,11 @@ class Automaton:
             state = self.states[s]
             total = state.count + 0.05 * (_ALPHABET + 1)
             moves.append(
-                {c: (number[state.to[c]], math.log((n + 0.05) / total)) for c, n in state.taken.items()}
+                {
+                    c: (number[state.to[c]], math.log((n + 0.05) / total))
+                    for c, n in state.taken.items()
+                    if n >= self.support
+                }
             )
             stops.append(math.log((state.ends + 0.05) / total))
         del self.states
@@ -275,7 +284,8 @@ def labelled_strings(docs: DataFrame, per_kind: int, per_ordinary: int) -> DataF
             [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"]
         )
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(work, "kind string, value string").distinct()
+    texts = docs.select(F.col("text").cast("string"))
+    found = staged(texts.mapInArrow(work, "kind string, value string"), "runs").distinct()
     usual = F.col("kind").isin(*ORDINARY)
     known = first_by_hash(found.filter(~usual), "value", "kind", per_kind)
     return known.unionAll(first_by_hash(found.filter(usual), "value", "kind", per_ordinary))
@@ -289,7 +299,9 @@ def infer(docs: DataFrame, settings: Settings | None = None) -> Grammar | None:
     found = staged(labelled_strings(docs, s.per_kind, s.per_ordinary), "credentials")
     for kind, value in sorted(tuple(r) for r in found.select("kind", F.left("value", F.lit(256))).collect()):
         strings.setdefault(kind, []).append(value)
-    automata = {kind: Automaton(values, s.alpha) for kind, values in strings.items()}
+    automata = {
+        kind: Automaton(values, s.alpha, 3 if kind in ORDINARY else 1) for kind, values in strings.items()
+    }
     ordinary = tuple(automata.pop(kind) for kind in ORDINARY if kind in automata)
     return Grammar(automata, ordinary, s.ratio) if automata else None
 
