@@ -78,19 +78,21 @@ def keyed_update(
 ) -> DataFrame:
     """Overwrite ``columns`` of stored rows from matching source rows.
 
-    Source rows with a missing value are skipped; keys not stored are not inserted.
+    Source rows with a value that is missing or doesn't fit the stored column are skipped; keys
+    not stored are not inserted.
     The result has an extra boolean ``_matched``.
     """
-    usable = last_per_key(source.dropna(subset=list(columns)), keys, order).select(
+    types = {f.name: f.dataType for f in existing.schema}
+    fitting = source.withColumns({c: F.col(c).try_cast(types[c]) for c in columns})
+    usable = last_per_key(fitting.dropna(subset=list(columns)), keys, order).select(
         *keys, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_hit")
     )
     matched = F.col("_hit").isNotNull()
-    types = {f.name: f.dataType for f in existing.schema}
 
     def value(c: str) -> Column:
         if c not in columns:
             return F.col(c)
-        return F.when(matched, F.col(f"_new_{c}").cast(types[c])).otherwise(F.col(c)).alias(c)
+        return F.when(matched, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
 
     joined = existing.join(usable, list(keys), "left")
     return joined.select(*(value(c) for c in existing.columns), matched.alias("_matched"))

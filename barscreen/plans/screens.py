@@ -262,8 +262,7 @@ def _with_columns(
     if any(spec.uses_benchmark for spec in specs):
         if index is None:
             raise ValueError("this screen needs the index table")
-        # one benchmark, one row per date: at most 366 rows a year
-        rows = rows.join(F.broadcast(benchmark_returns(index, benchmark)), "date", "left")
+        rows = rows.join(benchmark_returns(index, benchmark), "date", "left")
     return rows
 
 
@@ -284,9 +283,13 @@ def screen(
     """
     spec = get_screen(screen_id)
     hits = _with_columns(bars, index, [spec], as_of, benchmark, block_rows).filter(spec.rule)
+    return _shown(hits, spec, spec.output, ordered)
+
+
+def _shown(hits: DataFrame, spec: Screen, output: dict[str, Column], ordered: bool) -> DataFrame:
     if ordered:
         hits = hits.orderBy(*spec.order, F.asc("symbol"), F.asc("date"))
-    return hits.select(*(c.alias(name) for name, c in spec.output.items()))
+    return hits.select(*(c.alias(name) for name, c in output.items()))
 
 
 def screen_counts(
@@ -309,13 +312,21 @@ def run_screen(
     index: DataFrame | None = None,
     as_of: AsOf = "latest",
     exclude: bool = False,
-    **options,
+    benchmark: str = BENCHMARK,
+    ordered: bool = False,
+    block_rows: int | None = None,
 ) -> DataFrame:
-    """A screen's rows with their ban mark, or without banned symbols (K8)."""
-    hits = screen(bars, screen_id, index=index, as_of=as_of, **options)
+    """A screen's rows with their ban mark, or without banned symbols (K8).
+
+    Rows are sorted after the bans are joined: a join keeps no order.
+    """
+    spec = get_screen(screen_id)
+    hits = _with_columns(bars, index, [spec], as_of, benchmark, block_rows).filter(spec.rule)
     if exclude:
-        return exclude_banned(hits, bans).withColumn("in_ban", F.lit(False))
-    return mark_banned(hits, bans)
+        hits = exclude_banned(hits, bans).withColumn("in_ban", F.lit(False))
+    else:
+        hits = mark_banned(hits, bans)
+    return _shown(hits, spec, {**spec.output, "in_ban": F.col("in_ban")}, ordered)
 
 
 def sort_results(df: DataFrame, column: str, descending: bool = False) -> DataFrame:

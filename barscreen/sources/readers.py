@@ -7,6 +7,8 @@ row), because the row that comes last wins when a key occurs twice.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,6 @@ from pyspark.sql import types as T
 
 from ..functions.cleaning import (
     clean_decimal,
-    clean_double,
     clean_long,
     first_present,
     parse_date,
@@ -65,20 +66,55 @@ def with_ordinal(df: DataFrame) -> DataFrame:
 
 def file_stem() -> Column:
     """File name up to its first dot: feeds may name their symbol only there."""
-    return F.split(F.col("_metadata.file_name"), r"\.")[0]
+    # the name comes percent-encoded, a plus sign stands for itself
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.split(name, r"\.")[0]
 
 
-def _named_csv(spark: SparkSession, path: str, name_column: str) -> DataFrame:
-    """CSV as text with clean headers; the series name comes from a column or the file name."""
-    raw = spark.read.option("header", True).csv(path)
-    named = rename_headers(with_ordinal(raw.withColumn("_stem", file_stem())))
-    name = first_present(named, (name_column, name_column.capitalize(), "_stem"))
-    return named.withColumn(name_column, name).drop("_stem")
+def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a feed folder, those with the same header line together.
+
+    One short text per file comes to the driver, which lists the files anyway.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("value"),
+    )
+    first = lines.filter("start = 0").withColumn("row", F.monotonically_increasing_id())
+    headers = first.groupBy("file").agg(F.min_by("value", "row").alias("header")).collect()
+    groups: dict[str, list[str]] = {}
+    for row in sorted(headers):
+        groups.setdefault(row["header"], []).append(unquote(row["file"]))
+    return list(groups.values())
+
+
+def _named_csv(
+    spark: SparkSession, path: str, name_column: str, defaults: dict[str, str] | None = None
+) -> DataFrame:
+    """CSV as text with clean headers; the series name comes from a column or the file name.
+
+    Spark takes one header for all files of a read, so files are read by their headers. A
+    column of ``defaults`` that a file lacks gets its default.
+    """
+
+    def named(raw: DataFrame) -> DataFrame:
+        clean = rename_headers(with_ordinal(raw.withColumn("_stem", file_stem())))
+        name = first_present(clean, (name_column, name_column.capitalize(), "_stem"))
+        missing = {c: F.lit(v) for c, v in (defaults or {}).items() if c not in clean.columns}
+        return clean.withColumn(name_column, name).drop("_stem").withColumns(missing)
+
+    reader = spark.read.option("header", True)
+    groups = _files_by_header(spark, path)
+    if not groups:
+        return named(reader.csv(path))
+    parts = [named(reader.csv(files)) for files in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_equity(spark: SparkSession, path: str) -> DataFrame:
-    """Raw daily bars (A1, B1)."""
-    return _named_csv(spark, path, "symbol")
+    """Raw daily bars (A1, B1); a file without a series column holds ordinary shares."""
+    return _named_csv(spark, path, "symbol", {"Series": "EQ"})
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +134,12 @@ def between(df: DataFrame, start: dt.date | None = None, end: dt.date | None = N
     return df.filter(F.col("date") <= (F.lit(end) if end is not None else F.current_date()))
 
 
+def _whole(cell: Column, kind: T.DataType, on_bad: str) -> Column:
+    """An integer of the stored type; one that is too large for it is unusable as well."""
+    value = clean_long(cell, on_bad).try_cast(kind)
+    return F.coalesce(value, F.lit(0).cast(kind)) if on_bad == "zero" else value
+
+
 def _parsed(raw: DataFrame, feed: dict[str, str], schema: T.StructType, on_bad: str) -> DataFrame:
     """Rename and convert the feed's columns to their stored types."""
     types = {f.name: f.dataType for f in schema}
@@ -110,7 +152,7 @@ def _parsed(raw: DataFrame, feed: dict[str, str], schema: T.StructType, on_bad:
         elif isinstance(kind, T.DecimalType):
             value = clean_decimal(cell, kind, on_bad)
         elif isinstance(kind, (T.LongType, T.IntegerType)):
-            value = clean_long(cell, on_bad).try_cast(kind)
+            value = _whole(cell, kind, on_bad)
         else:
             # a feed without a series column holds ordinary shares only
             value = F.trim(cell if header in raw.columns else F.lit("EQ"))
@@ -138,20 +180,28 @@ def quarantine(raw: DataFrame, date_header: str = "Date") -> DataFrame:
     return raw.filter(parse_date(quoted(date_header)).isNull())
 
 
-def bad_cells(raw: DataFrame, feed: dict[str, str] = EQUITY_FEED) -> DataFrame:
-    """Number of unusable cells per numeric column, one pass."""
+def bad_cells(
+    raw: DataFrame, feed: dict[str, str] = EQUITY_FEED, schema: T.StructType = BARS
+) -> DataFrame:
+    """Number of cells per numeric column that cleaning can't use, one pass."""
     numeric = [h for h, name in feed.items() if h in raw.columns and name not in ("date", "series")]
-    counts = raw.agg(
-        *(F.count_if(clean_double(quoted(h), "null").isNull()).alias(feed[h]) for h in numeric)
-    )
+    types = {f.name: f.dataType for f in schema}
+
+    def unusable(header: str) -> Column:
+        kind, cell = types[feed[header]], quoted(header)
+        if isinstance(kind, T.DecimalType):
+            return clean_decimal(cell, kind, "null").isNull()
+        return _whole(cell, kind, "null").isNull()
+
+    counts = raw.agg(*(F.count_if(unusable(h)).alias(feed[h]) for h in numeric))
     return counts.unpivot([], [feed[h] for h in numeric], "column_name", "bad_cells")
 
 
 def local_date(ts: Column | str, zone: str = FEED_ZONE) -> Column:
     """Calendar date of an instant in the feed's time zone, whatever the session zone is."""
-    instant = F.col(ts) if isinstance(ts, str) else ts
+    instant = F.col(ts) if isinstance(ts, str) else ts  # no instant: no date
     return F.to_date(
-        F.convert_timezone(None, F.lit(zone), instant.cast("timestamp").cast("timestamp_ntz"))
+        F.convert_timezone(None, F.lit(zone), instant.try_cast("timestamp").cast("timestamp_ntz"))
     )
 
 

@@ -362,3 +362,47 @@ def test_stream_equals_batch_and_survives_a_restart(spark, store, tmp_path):
     landed(tmp_path, "equity", {"late.csv": HEADER + line("A", day(3), 55)})
     corrected = dict(((s, d), c) for s, d, c in run())
     assert len(corrected) == 30 and float(corrected["A", day(3)]) == 55
+
+
+def _land(folder, files):
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / name).write_text(text, encoding="utf-8")
+    return str(folder)
+
+
+def test_files_with_different_headers_lose_no_row(spark, tmp_path):
+    path = _land(
+        tmp_path / "bars",
+        {
+            "A.csv": "Date,Series,ClosePrice,HighPrice\n02-Jan-2025,EQ,10,11\n03-Jan-2025,BE,10,11\n",
+            "B.csv": '﻿"HighPrice","ClosePrice","Date"\n"21","20","02-Jan-2025"\n',
+            "C.csv": "Symbol,ClosePrice,Series,HighPrice,Date\nX,30,EQ,31,02-Jan-2025\n",
+        },
+    )
+    rows = readers.clean_equity(readers.read_equity(spark, path)).collect()
+    assert sorted((r["symbol"], float(r["close"]), float(r["high"])) for r in rows) == [
+        ("A", 10.0, 11.0), ("B", 20.0, 21.0), ("X", 30.0, 31.0)
+    ]
+
+
+def test_index_name_with_a_space_in_the_file_name(spark, tmp_path):
+    text = "TIMESTAMP,OPEN_INDEX_VAL,HIGH_INDEX_VAL,CLOSE_INDEX_VAL,LOW_INDEX_VAL\n02-Jan-2025,1,2,1,1\n"
+    path = _land(tmp_path / "index", {"NIFTY 50.csv": text, "A+B.csv": text})
+    names = {r["index_name"] for r in readers.clean_index(readers.read_index(spark, path)).collect()}
+    assert names == {"NIFTY 50", "A+B"}
+
+
+def test_one_bad_date_leaves_the_adjusted_feed_alone(spark, tmp_path):
+    text = "ticker,Date,Open,High,Low,Close,Volume\nA.NS,n/a,1,1,1,1,1\nA.NS,2025-01-02 00:00:00+05:30,1,1,1,1,1\n"
+    rows = readers.read_adjusted(spark, _land(tmp_path / "adjusted", {"all.csv": text})).collect()
+    assert sorted(str(r["date"]) for r in rows) == ["2025-01-02", "None"]
+
+
+def test_bad_cells_are_what_cleaning_zeroes(spark):
+    raw = spark.createDataFrame(
+        [("99999999999999", "inf", "1e30", "1e12"), ("1", "2", "3", "4")],
+        "ClosePrice string, OpenPrice string, TotalTradedQuantity string, `No.ofTrades` string",
+    )
+    found = {r["column_name"]: r["bad_cells"] for r in readers.bad_cells(raw).collect()}
+    assert found == {"close": 1, "open": 1, "volume": 1, "trades": 1}

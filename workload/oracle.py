@@ -139,7 +139,7 @@ _add(
     "screen_result_sort",
     "rolled",
     f"""SELECT {_screen_columns('upward-breakout-delivery')} FROM hits
-        ORDER BY coalesce(hits.volume_mult, 0), hits.symbol, hits.date LIMIT 25""",
+        ORDER BY coalesce(hits.volume_mult, 0), hits.symbol, hits.date"""",
     f"hits AS ({_HITS['upward-breakout-delivery']})",
 )
 _add(
@@ -249,7 +249,7 @@ _add(
                            WHEN arg_max(close, date) > arg_min(close, date) THEN 'positive'
                            WHEN arg_max(close, date) < arg_min(close, date) THEN 'negative'
                            ELSE 'neutral' END AS trend
-       FROM rolled WHERE newest <= 21 GROUP BY symbol""",
+       FROM rolled WHERE newest <= 252 GROUP BY symbol""",
 )
 _add(
     "sparkline_scaled",
@@ -502,10 +502,10 @@ _add(
     "master_rows",
     "",
     """SELECT symbol, company_name,
-              CAST(coalesce(CASE WHEN lot < 40 THEN lot END, 0) AS BIGINT) AS lot_size
+              CAST(coalesce(lot, 0) AS BIGINT) AS lot_size
        FROM (SELECT upper(p_brand) AS symbol, arg_max(p_name, p_partkey) AS company_name,
-                    arg_max(p_size, p_partkey) FILTER (WHERE p_type <> 'PROMO' AND p_size > 0)
-                        AS lot
+                    arg_max(p_size, p_partkey) FILTER (
+                        WHERE p_type <> 'PROMO' AND upper(p_brand) <> 'BRAND#5' AND p_size > 0) AS lot
              FROM part GROUP BY 1)""",
 )
 _KIND = """CASE WHEN c_acctbal > 5000 THEN 'first' WHEN c_acctbal > 0 THEN 'second'

@@ -127,9 +127,9 @@ def screen_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def screen_result_sort(spark: SparkSession, sf: str) -> DataFrame:
-    """First UI page of a result re-sorted by a column that has NULLs."""
+    """A whole result re-sorted by a column that has NULLs."""
     hits = screens.screen(t.bars(spark, sf), "upward-breakout-delivery", as_of=None)
-    return plain(screens.sort_results(hits, "volume_mult").limit(25))
+    return plain(screens.sort_results(hits, "volume_mult"))
 
 
 @query
@@ -236,7 +236,7 @@ def sparkline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sparkline_trend(spark: SparkSession, sf: str) -> DataFrame:
-    lines = metrics.sparkline(t.bars(spark, sf), n=21)
+    lines = metrics.sparkline(t.bars(spark, sf))
     return lines.select("symbol", labels.sparkline_trend("sparkline").alias("trend"))
 
 
@@ -460,7 +460,7 @@ def master_rows(spark: SparkSession, sf: str) -> DataFrame:
         t.brand_symbol().alias("symbol"), F.col("p_name").alias("underlying"),
         F.col("p_partkey").alias(ORDINAL),
     )
-    lots = readers.lot_sizes(t.part_instruments(spark, sf)).filter(F.col("lot_size") < 40)
+    lots = readers.lot_sizes(t.part_instruments(spark, sf))
     rows = readers.master_rows(readers.eligible_stocks(listed), lots)
     empty = t.master(spark, sf).filter(F.lit(False))
     stored = upsert_partial(empty, rows, ["symbol"], ["company_name", "lot_size"])
@@ -525,15 +525,12 @@ def upsert_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def upsert_master_partial(spark: SparkSession, sf: str) -> DataFrame:
-    """Brands with a promo part are stored; the batch holds all brands."""
+    """Brands with a promo part are stored; the batch knows all brands but one."""
     master = t.master(spark, sf)
     part = t.given(spark, sf, "part")
     promo = part.filter(F.col("p_type") == "PROMO").select(t.brand_symbol().alias("symbol"))
-    batch = part.groupBy(t.brand_symbol().alias("symbol")).agg(
-        F.max("p_name").alias("company_name"), F.max("p_size").cast("int").alias("lot_size")
-    )
     merged = upsert_partial(
-        master.join(promo, "symbol", "left_semi"), batch.filter(F.col("symbol") != "BRAND#5"),
+        master.join(promo, "symbol", "left_semi"), t.master_batch(spark, sf),
         ["symbol"], ["company_name", "lot_size"], stamp="last_updated",
     )
     stamped = F.col("last_updated").isNotNull()

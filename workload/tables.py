@@ -23,6 +23,7 @@ BENCHMARK = "MARKET"
 SPLIT_BRANDS = ("BRAND#1", "BRAND#13")
 SPLIT_BEFORE = "1998-01-01"
 BROKEN_BRAND = "BRAND#7"
+UNLISTED_BRAND = "BRAND#5"
 
 _STORED: dict[tuple[str, str, str], DataFrame | str] = {}
 
@@ -340,12 +341,24 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instrument entries from parts: brand as symbol, size as lot size, no promo parts."""
+    """Instrument entries from parts: brand as symbol, size as lot size.
+
+    Promo parts and those of one brand are no futures, so that brand has no lot size.
+    """
     part = given(spark, sf_dir, "part")
+    other = (F.col("p_type") == "PROMO") | (brand_symbol() == UNLISTED_BRAND)
     return part.select(
         F.lit("NFO").alias("exch_seg"),
-        F.when(F.col("p_type") == "PROMO", "OPTSTK").otherwise("FUTSTK").alias("instrumenttype"),
+        F.when(other, "OPTSTK").otherwise("FUTSTK").alias("instrumenttype"),
         brand_symbol().alias("name"),
         F.col("p_size").cast("string").alias("lotsize"),
         F.col("p_partkey").alias(ORDINAL),
     )
+
+
+def master_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partial master load: name and lot size of every brand but the unlisted one."""
+    part = given(spark, sf_dir, "part").filter(brand_symbol() != UNLISTED_BRAND)
+    return part.groupBy(brand_symbol().alias("symbol")).agg(
+        F.max("p_name").alias("company_name"), F.max("p_size").cast("int").alias("lot_size")
+    )
