@@ -107,14 +107,18 @@ def metadata_gaps(master: DataFrame) -> DataFrame:
     return master.filter(missing("industry") | missing("segment")).select("symbol")
 
 
-def update_metadata(master: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Fill gaps where the feed knows industry or segment; then both are written."""
-    gaps = metadata_gaps(master)
-    usable = (
+def metadata_updates(master: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The feed's last row for each symbol with a gap, where it knows industry or segment."""
+    return (
         last_per_key(metadata, ["symbol"])
         .withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("industry", "segment")})
         .filter((F.col("industry") != "") | (F.col("segment") != ""))
-        .join(gaps, "symbol", "left_semi")
+        .join(metadata_gaps(master), "symbol", "left_semi")
     )
+
+
+def update_metadata(master: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Fill gaps where the feed knows industry or segment; then both are written."""
+    usable = metadata_updates(master, metadata)
     updated = keyed_update(master, usable, ["symbol"], ["industry", "segment"])
     return updated.drop("_matched")

@@ -16,7 +16,13 @@ from ..operators.quality import (
     repair,
     repair_report,
 )
-from ..operators.upsert import insert_ignore, update_metadata, upsert, upsert_partial
+from ..operators.upsert import (
+    insert_ignore,
+    metadata_updates,
+    update_metadata,
+    upsert,
+    upsert_partial,
+)
 from ..schemas import TABLES
 from ..session import checkpointed, folder_exists, staging
 from ..sources import readers
@@ -80,8 +86,16 @@ def store_bans(store: Store, rows: DataFrame) -> int:
 
 
 def store_metadata(store: Store, rows: DataFrame) -> int:
-    """Fill missing industry and segment."""
-    return store.apply("fno_stocks", rows, update_metadata)["rows"]
+    """Fill missing industry and segment; returns the number of stocks that were filled."""
+    filled = 0
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        nonlocal filled
+        filled = metadata_updates(old, new).count()
+        return update_metadata(old, new)
+
+    store.apply("fno_stocks", rows, merge)
+    return filled
 
 
 def repaired(

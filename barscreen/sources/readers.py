@@ -71,7 +71,7 @@ def file_stem() -> Column:
     return F.split(name, r"\.")[0]
 
 
-def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+def _files_by_header(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
     """The files of a feed folder, those with the same header line together.
 
     One short text per file comes to the driver, which lists the files anyway.
@@ -90,7 +90,7 @@ def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
 
 
 def _named_csv(
-    spark: SparkSession, path: str, name_column: str, defaults: dict[str, str] | None = None
+    spark: SparkSession, path: str | list[str], name_column: str, defaults: dict[str, str] | None = None
 ) -> DataFrame:
     """CSV as text with clean headers; the series name comes from a column or the file name.
 
@@ -112,7 +112,7 @@ def _named_csv(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_equity(spark: SparkSession, path: str) -> DataFrame:
+def read_equity(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw daily bars (A1, B1); a file without a series column holds ordinary shares."""
     return _named_csv(spark, path, "symbol", {"Series": "EQ"})
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.jobs import store_series
-from ..schemas import EQUITY_FEED, raw_schema
-from ..sources.readers import clean_equity, number_rows, with_block
+from ..sources.readers import clean_equity, read_equity
 from ..sources.store import Store
 
 
@@ -18,25 +18,30 @@ def stream_collect(
     landing: str,
     store: Store,
     checkpoint: str,
-    headers: Sequence[str] = ("symbol", *EQUITY_FEED),
     on_bad: str = "zero",
     max_files: int | None = None,
 ) -> StreamingQuery:
     """Upsert every new landing file into the bars table, then stop.
 
-    A replayed micro-batch overwrites the same keys with the same rows, so a restart from the
-    checkpoint changes nothing; late and corrected bars overwrite by key, so no watermark is
-    needed.
+    The stream names the new files of a micro-batch, the batch reader reads them, each by its
+    own header. A replayed micro-batch overwrites the same keys with the same rows, so a restart
+    from the checkpoint changes nothing; late and corrected bars overwrite by key, so no
+    watermark is needed.
     """
-    reader = spark.readStream.schema(raw_schema(*headers)).option("header", True)
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def apply(batch: DataFrame, _: int) -> None:
-        store_series(store, "daily_ohlcv", clean_equity(number_rows(batch), on_bad))
+        # names of the files of one trigger, which the driver has listed already
+        files = [unquote(r["file"]) for r in batch.distinct().collect()]
+        if files:
+            raw = read_equity(batch.sparkSession, sorted(files))
+            store_series(store, "daily_ohlcv", clean_equity(raw, on_bad))
 
     return (
-        with_block(reader.csv(landing))
+        reader.text(landing)
+        .select(F.col("_metadata.file_path").alias("file"))
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(apply)

@@ -139,7 +139,7 @@ _add(
     "screen_result_sort",
     "rolled",
     f"""SELECT {_screen_columns('upward-breakout-delivery')} FROM hits
-        ORDER BY coalesce(hits.volume_mult, 0), hits.symbol, hits.date"""",
+        ORDER BY coalesce(hits.volume_mult, 0), hits.symbol, hits.date""",
     f"hits AS ({_HITS['upward-breakout-delivery']})",
 )
 _add(
@@ -444,7 +444,9 @@ _STORED_BARS = f"""
            coalesce(CAST(prev_close AS DOUBLE), 0) AS prev_close, {_BAR_REST}, {_d('delivery_pct')}
     FROM bars"""
 _add("clean_bars", "bars", _STORED_BARS)
+_add("clean_bars_mixed_headers", "bars", _STORED_BARS)
 _add("stream_upsert", "bars", _STORED_BARS)
+_add("stream_upsert_mixed_headers", "bars", _STORED_BARS)
 _add(
     "clean_bars_null",
     "bars",

@@ -402,6 +402,13 @@ def clean_bars(spark: SparkSession, sf: str) -> DataFrame:
     return plain(readers.clean_equity(_raw_equity(spark, sf)).drop(ORDINAL))
 
 
+@query
+def clean_bars_mixed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """The same bars from files whose headers differ in order and columns."""
+    raw = readers.read_equity(spark, t.mixed_landing(spark, sf))
+    return plain(readers.clean_equity(raw).drop(ORDINAL))
+
+
 @query
 def clean_bars_null(spark: SparkSession, sf: str) -> DataFrame:
     """Unusable cells as NULL instead of 0."""
@@ -592,6 +599,15 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return plain(store.table("daily_ohlcv"))
 
 
+@query
+def stream_upsert_mixed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream reads files of different layouts as the batch does."""
+    store = Store(spark, new_folder(spark, "stream-store"))
+    landing = t.mixed_landing(spark, sf)
+    stream_collect(spark, landing, store, new_folder(spark, "stream-state")).awaitTermination()
+    return plain(store.table("daily_ohlcv"))
+
+
 # -- display labels --------------------------------------------------------------------------
 
 

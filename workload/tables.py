@@ -257,6 +257,24 @@ def equity_landing(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "landing-equity", build)
 
 
+def mixed_landing(spark: SparkSession, sf_dir: str) -> str:
+    """The landed bars in files of three layouts: as they are, reversed, without a series."""
+
+    def build() -> str:
+        text = spark.read.option("header", True).csv(equity_landing(spark, sf_dir))
+        plain = (F.col("Series") == "EQ") & (F.col("Date") != "n/a")
+        part = F.when(plain, F.pmod(F.xxhash64("symbol"), F.lit(3))).otherwise(0)
+        names = text.columns
+        layouts = (names, names[::-1], [c for c in names if c != "Series"])
+        path = new_folder(spark, "landing-mixed")
+        for i, columns in enumerate(layouts):
+            rows = text.filter(part == i).select(*[F.col(f"`{c}`") for c in columns])
+            rows.write.mode("append").option("header", True).csv(path)
+        return path
+
+    return _once(spark, sf_dir, "landing-mixed", build)
+
+
 def index_landing(spark: SparkSession, sf_dir: str) -> str:
     def build() -> str:
         cells = (
