@@ -19,8 +19,8 @@ from .common import ascii_lower
 
 WINDOW = 13
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# rows of a counted table that may be broadcast, and numbers alone; beyond it is a shuffle
-_SMALL = 200_000
+# measured bytes of a table that may be broadcast, and a count of numbers; beyond it is a shuffle
+_SMALL_BYTES = 32 << 20
 _SMALL_KEYS = 1_000_000
 
 
@@ -49,8 +49,9 @@ def build_index(docs: DataFrame) -> Index:
 
 
 def _checked(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a stored table that was counted and is small."""
-    return F.broadcast(df) if df.count() <= _SMALL else df
+    """A broadcast hint for a stored table whose content was measured and is small."""
+    measured = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if measured <= _SMALL_BYTES else df
 
 
 @dataclass(frozen=True)
