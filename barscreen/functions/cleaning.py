@@ -15,7 +15,10 @@ DATE_FORMATS = {
     "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
     "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
     "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
 }
+# a timestamp: its first ten characters are the date
+TIMESTAMP_SHAPE = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"
 
 
 def quoted(name: str) -> Column:
@@ -55,7 +58,8 @@ def parse_date(c: Column | str) -> Column:
     for layout, shape in DATE_FORMATS.items():
         date = F.try_to_date(text, layout)
         parsed = (F if parsed is None else parsed).when(text.rlike(shape), date)
-    return parsed
+    moment = F.try_to_date(F.left(text, F.lit(10)), "yyyy-MM-dd")
+    return parsed.when(text.rlike(TIMESTAMP_SHAPE), moment)
 
 
 def _digits(c: Column | str) -> Column:

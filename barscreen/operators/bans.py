@@ -40,6 +40,11 @@ def ban_status(bans: DataFrame) -> DataFrame:
     )
 
 
+def before(days: int) -> dt.timedelta:
+    """From the last day of a range of calendar days to its first one."""
+    return dt.timedelta(days=days - 1)
+
+
 def _in_range(bans: DataFrame, until: dt.date | Column, days: int) -> DataFrame:
     end = until if isinstance(until, Column) else F.lit(until)
     date = F.col("trade_date")

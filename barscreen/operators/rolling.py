@@ -24,7 +24,6 @@ from ..functions.numeric import change_pct, true_range
 from ..session import checkpointed
 
 MAX_MONTH_ROWS = 31  # unique dates: no calendar month of a series is longer
-BROADCAST_ROWS = 100_000  # a counted side of short rows up to this length is broadcast
 SHORT_ROWS = 16  # frames up to twice this length are scanned directly
 
 Build = Callable[[DataFrame, WindowSpec], DataFrame]
@@ -44,8 +43,6 @@ def over_series(
     if block_rows is None:
         return build(df, Window.partitionBy(key).orderBy("date"))
     months = checkpointed(_month_blocks(df, key, lookback, block_rows))
-    if months.count() <= BROADCAST_ROWS:
-        months = F.broadcast(months)
     blocked = (
         df.withColumn("_month", F.trunc("date", "month"))
         .join(months, [key, "_month"])

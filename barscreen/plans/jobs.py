@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lookups import new_rows_only
+from ..operators.lookups import last_dates
 from ..operators.quality import (
     detect_jumps,
     ohlc_violation_counts,
@@ -32,12 +32,15 @@ from ..sources.store import Store
 START_DATE = dt.date(2025, 1, 1)
 BENCHMARKS = ("NIFTY 50", "NIFTY BANK")
 
+# why a row of the equity feed is not loaded; the first that holds
+LEFT_OUT = ("other_series", "undated", "out_of_range", "unlisted", "already_stored")
+
 DETECTORS = {"jumps": detect_jumps, "violations": ohlc_violations}
 
 
 @dataclass
 class Landing:
-    """Folders of the landed feeds; a missing folder skips its step."""
+    """Folders of the landed feeds, below ``root`` or whole paths; a missing one skips its step."""
 
     root: str
     eligible: str = "eligible"
@@ -49,13 +52,14 @@ class Landing:
     metadata: str = "metadata"
 
     def find(self, spark: SparkSession, feed: str) -> str | None:
-        path = f"{self.root.rstrip('/')}/{getattr(self, feed)}"
+        folder = getattr(self, feed)
+        path = folder if "/" in folder else f"{self.root.rstrip('/')}/{folder}"
         return path if folder_exists(spark, path) else None
 
 
 @dataclass
 class CollectReport:
-    """Rows applied per step."""
+    """Rows applied per step, and of the equity feed those read and left out."""
 
     rows: dict[str, int] = field(default_factory=dict)
 
@@ -135,6 +139,55 @@ def refresh_index(store: Store, rows: DataFrame, index_name: str) -> tuple[int,
     return before, stored()
 
 
+def bar_fates(
+    flagged: DataFrame, listed: DataFrame, stored: DataFrame, start: dt.date, end: dt.date
+) -> DataFrame:
+    """Rows of ``readers.flagged_equity`` with ``_fate``: 'new' or one of ``LEFT_OUT``."""
+    known = listed.select("symbol", F.lit(True).alias("_listed"))
+    ends = last_dates(stored).withColumnRenamed("last_date", "_last")
+    date = F.col("date")
+    rules = (
+        F.col(readers.OTHER_SERIES),
+        date.isNull(),
+        (date < F.lit(start)) | (date > F.lit(end)),
+        F.col("_listed").isNull(),
+        date <= F.col("_last"),
+    )
+    fate = F.when(rules[0], LEFT_OUT[0])
+    for name, rule in zip(LEFT_OUT[1:], rules[1:]):
+        fate = fate.when(rule, name)
+    joined = flagged.join(known, "symbol", "left").join(ends, "symbol", "left")
+    fated = joined.withColumn("_fate", fate.otherwise("new"))
+    return fated.drop(readers.OTHER_SERIES, "_listed", "_last")
+
+
+def _collect_equity(
+    spark: SparkSession, path: str, store: Store, start: dt.date, end: dt.date, on_bad: str
+) -> dict[str, int]:
+    """Load the new bars of listed symbols; the counts of all rows read by what became of them."""
+    raw = readers.read_equity(spark, path)
+    listed = store.table("fno_stocks").select("symbol")
+    fates = bar_fates(
+        readers.flagged_equity(raw, on_bad), listed, store.table("daily_ohlcv"), start, end
+    )
+    seen = Observation()
+    counted = fates.observe(
+        seen,
+        F.count(F.lit(1)).alias("read"),
+        *(F.count_if(F.col("_fate") == name).alias(name) for name in LEFT_OUT),
+    )
+    with staging(spark, "new-bars") as stage:
+        rows = stage(counted.filter(F.col("_fate") == "new").drop("_fate"), "rows")
+        counts = {f"equity_{name}": seen.get[name] for name in ("read", *LEFT_OUT)}
+        loaded = rows.select("symbol").distinct().count()
+        counts["symbols_loaded"] = loaded
+        counts["symbols_without_rows"] = listed.count() - loaded
+        counts["daily_ohlcv"] = store_series(store, "daily_ohlcv", rows)
+    if counts["equity_undated"]:
+        store.set_aside("equity", readers.quarantine(raw).drop(readers.ORDINAL))
+    return counts
+
+
 def collect_one(
     spark: SparkSession,
     landing: Landing,
@@ -182,16 +235,7 @@ def collect_all(
 
     equity = landing.find(spark, "equity")
     if equity:
-        rows = readers.clean_equity(readers.read_equity(spark, equity), on_bad)
-        rows = readers.between(rows, start, end)
-        listed = store.table("fno_stocks").select("symbol")
-        rows = rows.join(listed, "symbol", "left_semi")
-        with staging(spark, "new-bars") as stage:
-            rows = stage(new_rows_only(rows, store.table("daily_ohlcv")), "rows")
-            loaded = rows.select("symbol").distinct().count()
-            report.rows["symbols_loaded"] = loaded
-            report.rows["symbols_without_rows"] = listed.count() - loaded
-            report.rows["daily_ohlcv"] = store_series(store, "daily_ohlcv", rows)
+        report.rows.update(_collect_equity(spark, equity, store, start, end, on_bad))
 
     adjusted = landing.find(spark, "adjusted")
     if adjusted:

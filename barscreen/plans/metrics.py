@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import change_pct, double, mean_price, pct_return, round_to
 from ..operators.bans import exclude_banned, mark_banned
 from ..operators.lookups import stock_info
-from ..operators.rolling import BROADCAST_ROWS, max_date, newest_rows
+from ..operators.rolling import max_date, newest_rows
 from ..session import checkpointed
 from .screens import BENCHMARK
 
@@ -64,9 +64,12 @@ def stock_metrics(
     index: DataFrame,
     ytd_from: dt.date | None = None,
     benchmark: str = BENCHMARK,
+    anchor: DataFrame | None = None,
 ) -> DataFrame:
     """Latest bar and look-back metrics, one row per symbol (K9).
 
+    ``anchor`` (symbol, ytd_start_close) is looked up in ``bars`` if it is not given.
+
     Only the newest 252 rows of a symbol count, so Spark drops the rest before the shuffle,
     and plain conditional aggregates replace running windows.
     """
@@ -81,7 +84,9 @@ def stock_metrics(
     )
     close = F.col("close")
     year = change_pct(close, "close_1y_ago")
-    anchored = per_symbol.join(ytd_anchor(bars, ytd_from), "symbol", "left").withColumn(
+    if anchor is None:
+        anchor = ytd_anchor(bars, ytd_from)
+    anchored = per_symbol.join(anchor, "symbol", "left").withColumn(
         "benchmark_1y", benchmark_1y(index, benchmark)
     )
     metrics = anchored.withColumns(
@@ -181,10 +186,7 @@ def sparkline(bars: DataFrame, n: int = YEAR_ROWS) -> DataFrame:
 def attach_sparkline(page: DataFrame, bars: DataFrame, n: int = YEAR_ROWS) -> DataFrame:
     """Add closes for the symbols of a page only; none gives an empty array."""
     page = checkpointed(page)  # computed once for both joins
-    symbols = page.select("symbol")
-    if page.count() <= BROADCAST_ROWS:
-        symbols = F.broadcast(symbols)
-    shown = bars.select("symbol", "date", "close").join(symbols, "symbol", "left_semi")
+    shown = bars.select("symbol", "date", "close").join(page.select("symbol"), "symbol", "left_semi")
     joined = page.join(sparkline(shown, n), "symbol", "left")
     return joined.withColumn(
         "sparkline", F.coalesce("sparkline", F.array().cast("array<decimal(12,2)>"))

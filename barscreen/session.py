@@ -49,6 +49,15 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder; none if it is not there."""
+    if not folder_exists(spark, path):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return [status.getPath().getName() for status in found]
+
+
 @contextmanager
 def staging(spark: SparkSession, label: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A stage function whose folder goes away once the block has succeeded."""

@@ -33,6 +33,8 @@ DEFAULT_TICKER = "^NSEI"
 TICKER_SUFFIX = ".NS"
 FEED_ZONE = "Asia/Kolkata"
 TEST_SUFFIX = "NSETEST"
+
+OTHER_SERIES = "_other_series"
 # Look-back per period name.
 PERIODS = {
     "1D": dt.timedelta(days=1),
@@ -157,8 +159,15 @@ def _parsed(raw: DataFrame, feed: dict[str, str], schema: T.StructType, on_bad:
             # a feed without a series column holds ordinary shares only
             value = F.trim(cell if header in raw.columns else F.lit("EQ"))
         columns.append(value.alias(name))
-    kept = [c for c in ("symbol", "index_name", "ticker", ORDINAL) if c in raw.columns]
-    return raw.select(*kept, *columns)
+    kept = ("symbol", "index_name", "ticker", OTHER_SERIES, ORDINAL)
+    return raw.select(*(c for c in kept if c in raw.columns), *columns)
+
+
+def flagged_equity(raw: DataFrame, on_bad: str = "zero") -> DataFrame:
+    """Typed bars of every raw row, those of another series marked, undated ones kept."""
+    other = ~F.coalesce(F.col("Series") == "EQ", F.lit(False)) if "Series" in raw.columns else F.lit(False)
+    parsed = _parsed(raw.withColumn(OTHER_SERIES, other), EQUITY_FEED, BARS, on_bad)
+    return parsed.select(*BARS.names, OTHER_SERIES, *(c for c in (ORDINAL,) if c in parsed.columns))
 
 
 def clean_equity(raw: DataFrame, on_bad: str = "zero") -> DataFrame:
@@ -177,6 +186,8 @@ def clean_index(raw: DataFrame, on_bad: str = "zero") -> DataFrame:
 
 def quarantine(raw: DataFrame, date_header: str = "Date") -> DataFrame:
     """Raw rows whose date no layout fits, for inspection."""
+    if date_header not in raw.columns:
+        return raw
     return raw.filter(parse_date(quoted(date_header)).isNull())
 
 

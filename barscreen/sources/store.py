@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import TABLES, Table
-from ..session import delete_folder, folder_exists, staging
+from ..session import delete_folder, folder_exists, staging, subfolders
 
 MONTH = "month"
 
@@ -41,9 +42,39 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(table.name))
 
-    def table(self, name: str) -> DataFrame:
-        """A stored table; empty with the declared schema before its first write."""
-        return self._stored(TABLES[name]).select(*TABLES[name].schema.names)
+    def table(
+        self, name: str, start: dt.date | None = None, end: dt.date | None = None
+    ) -> DataFrame:
+        """A stored table; empty with the declared schema before its first write.
+
+        Of a time series with ``start`` or ``end`` (inclusive), only their months are read.
+        """
+        table = TABLES[name]
+        rows = self._stored(table)
+        month, date = F.col(MONTH), F.col(table.date_column or table.keys[0])
+        if start is not None:
+            rows = rows.filter((month >= _month_of(start)) & (date >= F.lit(start)))
+        if end is not None:
+            rows = rows.filter((month <= _month_of(end)) & (date <= F.lit(end)))
+        return rows.select(*table.schema.names)
+
+    def last_date(self, name: str) -> dt.date | None:
+        """Latest date of a time series, from its newest month."""
+        table = TABLES[name]
+        folders = (f.removeprefix(f"{MONTH}=") for f in subfolders(self.spark, self.path(name)))
+        months = [int(f) for f in folders if f.isdigit()]
+        if not months:
+            return None
+        newest = self._stored(table).filter(F.col(MONTH) == max(months))
+        return newest.agg(F.max(table.date_column)).first()[0]
+
+    def set_aside(self, feed: str, rows: DataFrame) -> None:
+        """Keep the raw rows that a load had to leave out, in place of the load before's."""
+        kept = rows.select(F.to_json(F.struct("*")).alias("row"))
+        kept.write.mode("overwrite").parquet(self.aside_path(feed))
+
+    def aside_path(self, feed: str) -> str:
+        return f"{self.root}/_quarantine/{feed}"
 
     def apply(
         self, name: str, batch: DataFrame, merge: Merge, counters: dict[str, Column] | None = None
@@ -98,5 +129,9 @@ class Store:
         delete_folder(self.spark, pending)
 
 
+def _month_of(date: dt.date) -> int:
+    return date.year * 100 + date.month
+
+
 def _month(table: Table) -> Column:
     return F.year(table.date_column) * 100 + F.month(table.date_column)

@@ -17,7 +17,7 @@ from barscreen.operators.upsert import (
     upsert,
     upsert_partial,
 )
-from barscreen.plans import jobs
+from barscreen.plans import jobs, stored
 from barscreen.sources import readers
 from barscreen.sources.store import Store
 from barscreen.streaming import stream_collect
@@ -365,7 +365,7 @@ def test_stream_equals_batch_and_survives_a_restart(spark, store, tmp_path):
 
 
 def _land(folder, files):
-    folder.mkdir()
+    folder.mkdir(parents=True)
     for name, text in files.items():
         (folder / name).write_text(text, encoding="utf-8")
     return str(folder)
@@ -406,3 +406,43 @@ def test_bad_cells_are_what_cleaning_zeroes(spark):
     )
     found = {r["column_name"]: r["bad_cells"] for r in readers.bad_cells(raw).collect()}
     assert found == {"close": 1, "open": 1, "volume": 1, "trades": 1}
+
+
+def test_dates_of_a_range_prune_months(spark, make, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.last_date("daily_ohlcv") is None
+    assert store.table("daily_ohlcv", day(0), day(9)).count() == 0
+    assert stored.market_stats(store).first().stock_count == 0
+    jobs.store_series(store, "daily_ohlcv", make("bars", series("A", [100] * 100)))
+    jobs.store_bans(
+        store, make("bans", [{"trade_date": day(i), "symbol": "A"} for i in (0, 50, 99)])
+    )
+    assert store.last_date("daily_ohlcv") == day(99)
+    frames = {
+        "range": store.table("daily_ohlcv", day(40), day(45)),
+        "stats": stored.market_stats(store),
+        "bans": stored.ban_status(store),
+        "frequency": stored.ban_frequency(store),
+        "ytd": stored.ytd_anchor(store),
+    }
+    for name, frame in frames.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        scans = plan.count("PartitionFilters: [isnotnull(month")
+        tables = plan.count("FileScan parquet")
+        assert scans >= max(1, tables - (name == "stats")), (name, plan)
+    assert frames["range"].count() == 6
+    assert [r.days_in_ban for r in frames["frequency"].collect()] == [1]
+    assert [r.trade_date for r in frames["bans"].collect()] == [day(99)]
+
+
+def test_undated_rows_are_counted_and_set_aside(spark, tmp_path):
+    text = "symbol,Date,Series,ClosePrice\nA,2025-01-02 00:00:00,EQ,5\nA,2025/01/03,EQ,6\nA,soon,EQ,7\n"
+    root = tmp_path / "landing"
+    _land(root / "equity", {"all.csv": text})
+    _land(root / "eligible", {"all.csv": "symbol,Underlying\nA,Alpha\n"})
+    store = Store(spark, str(tmp_path / "store"))
+    report = jobs.collect_all(spark, jobs.Landing(str(root)), store, today=day(10))
+    counts = {k: report.rows[k] for k in ("equity_read", "equity_undated", "daily_ohlcv")}
+    assert counts == {"equity_read": 3, "equity_undated": 1, "daily_ohlcv": 2}
+    aside = spark.read.parquet(store.aside_path("equity")).collect()
+    assert len(aside) == 1 and '"Date":"soon"' in aside[0].row

@@ -616,6 +616,87 @@ _add(
     _LOADED,
 )
 
+# -- stores and jobs -------------------------------------------------------------------------
+
+for _name in ("market_stats", "ban_status", "ban_frequency", "stock_metrics"):
+    ORACLE[f"store_{_name}"] = ORACLE[_name]
+_add(
+    "store_screen_latest",
+    "rolled banned_now",
+    f"""SELECT {_screen_columns('upward-breakout')},
+               CASE WHEN symbol IN (SELECT symbol FROM banned_now) THEN 'true' ELSE 'false' END
+                   AS in_ban
+        FROM hits WHERE date = (SELECT max(date) FROM bars)""",
+    _UP_HITS,
+)
+_RANGE = "date BETWEEN DATE '1998-01-01' AND DATE '2000-01-01'"
+_LISTED = "symbol <> 'BRAND#5'"
+_NEW = f"{_LISTED} AND date > DATE '1999-01-01' AND date <= DATE '2000-01-01'"
+_add("collect_all_bars", "bars", f"{_STORED_BARS} WHERE {_LISTED} AND {_RANGE}")
+_add(
+    "collect_all_master",
+    "",
+    f"""SELECT upper(p_brand) AS symbol, max(p_name) AS company_name, CAST(0 AS BIGINT) AS lot_size
+        FROM part WHERE upper(p_brand) <> 'BRAND#5' GROUP BY 1""",
+)
+_EQUITY_COUNTS = {
+    "equity_read": f"1 + CAST(day(date) = 8 AS INTEGER) + CAST({_UNDATED} AS INTEGER)",
+    "equity_other_series": "CAST(day(date) = 8 AS INTEGER)",
+    "equity_undated": f"CAST({_UNDATED} AS INTEGER)",
+    "equity_out_of_range": f"CAST(NOT ({_RANGE}) AS INTEGER)",
+    "equity_unlisted": f"CAST({_RANGE} AND NOT ({_LISTED}) AS INTEGER)",
+    "equity_already_stored": f"CAST({_RANGE} AND {_LISTED} AND NOT ({_NEW}) AS INTEGER)",
+    "daily_ohlcv": f"CAST({_NEW} AS INTEGER)",
+}
+_STOCK_COUNT = f"(SELECT count(*) FROM master WHERE {_LISTED})"
+_LOADED_COUNT = f"(SELECT count(DISTINCT symbol) FROM bars WHERE {_NEW})"
+_add(
+    "collect_report",
+    "bars index_bars bans master",
+    " UNION ALL ".join(
+        [
+            f"SELECT '{step}' AS step, CAST(sum({value}) AS BIGINT) AS n_rows FROM bars"
+            for step, value in _EQUITY_COUNTS.items()
+        ]
+        + [
+            f"SELECT '{step}', {value}"
+            for step, value in {
+                "fno_stocks": _STOCK_COUNT,
+                "with_lot_size": "0",
+                "symbols_loaded": _LOADED_COUNT,
+                "symbols_without_rows": f"{_STOCK_COUNT} - {_LOADED_COUNT}",
+                "index_ohlcv": f"(SELECT count(*) FROM index_bars WHERE {_RANGE})",
+                "fno_ban_period": "(SELECT count(*) FROM bans)",
+            }.items()
+        ]
+    ),
+)
+_add(
+    "refresh_index_counts",
+    "index_bars",
+    """SELECT count(*) FILTER (WHERE date < DATE '2000-01-01') AS rows_before,
+              count(*) AS rows_after FROM index_bars""",
+)
+_add(
+    "adjusted_feed_dirty",
+    "adj",
+    f"""SELECT symbol, {_s('date')}, {_d('open', 'high', 'low')},
+               CASE WHEN day(date) = 9 THEN 1e30 ELSE CAST(close AS DOUBLE) END AS close, volume
+        FROM adj WHERE date >= DATE '1998-01-01' AND day(date) <> 7""",
+)
+_add(
+    "repair_update_dirty",
+    "bars_q adj",
+    f"""SELECT symbol, {_s('date')}, {_d('open', 'high', 'low', 'close')}, volume
+        FROM (SELECT q.symbol, q.date, a.open, a.high, a.low, a.close, a.volume
+              FROM bars_q q JOIN adj a ON q.symbol = a.symbol AND q.date = a.date
+              WHERE q.symbol IN (SELECT symbol FROM flagged) AND day(q.date) NOT IN (7, 9)
+              UNION ALL
+              SELECT symbol, date, open, high, low, close, volume FROM bars_q
+              WHERE symbol NOT IN (SELECT symbol FROM flagged) OR day(date) IN (7, 9))""",
+    f"{_jumps('bars_q')}, flagged AS (SELECT DISTINCT symbol FROM jumps WHERE abs({_MOVE}) > 0.30)",
+)
+
 # -- display labels --------------------------------------------------------------------------
 
 _add(

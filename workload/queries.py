@@ -20,7 +20,7 @@ from barscreen.operators.upsert import (
     upsert,
     upsert_partial,
 )
-from barscreen.plans import jobs, metrics, reports, screens
+from barscreen.plans import jobs, metrics, reports, screens, stored
 from barscreen.schemas import BANS, BARS, INDEX_BARS
 from barscreen.session import new_folder
 from barscreen.sources import output, readers
@@ -608,6 +608,83 @@ def stream_upsert_mixed_headers(spark: SparkSession, sf: str) -> DataFrame:
     return plain(store.table("daily_ohlcv"))
 
 
+# -- stores and jobs -------------------------------------------------------------------------
+
+
+@query
+def store_market_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The market's latest day from the newest month of a store."""
+    return plain(stored.market_stats(t.market_store(spark, sf)))
+
+
+@query
+def store_ban_status(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(stored.ban_status(t.market_store(spark, sf)))
+
+
+@query
+def store_ban_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(stored.ban_frequency(t.market_store(spark, sf)))
+
+
+@query
+def store_screen_latest(spark: SparkSession, sf: str) -> DataFrame:
+    store = t.market_store(spark, sf)
+    return plain(stored.screen_latest(store, "upward-breakout", benchmark=t.BENCHMARK))
+
+
+@query
+def store_stock_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(stored.stock_metrics(t.market_store(spark, sf), t.BENCHMARK))
+
+
+def _collected(spark: SparkSession, sf: str) -> tuple[Store, DataFrame]:
+    return t.collected(spark, sf, FLOOR, OVERLAP, CUTOVER)
+
+
+@query
+def collect_all_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars that two collections of the landed feeds leave in the store."""
+    return plain(_collected(spark, sf)[0].table("daily_ohlcv"))
+
+
+@query
+def collect_all_master(spark: SparkSession, sf: str) -> DataFrame:
+    stocks = _collected(spark, sf)[0].table("fno_stocks")
+    return plain(stocks.select("symbol", "company_name", "lot_size"))
+
+
+@query
+def collect_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the second collection read, left out and stored."""
+    return _collected(spark, sf)[1]
+
+
+@query
+def refresh_index_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of a benchmark before and after its refresh."""
+    store = Store(spark, new_folder(spark, "refresh-store"))
+    index = t.index(spark, sf)
+    jobs.store_series(store, "index_ohlcv", index.filter(F.col("date") < _date(CUTOVER)))
+    counts = jobs.refresh_index(store, _corrections(index), t.BENCHMARK)
+    return spark.createDataFrame([counts], "rows_before bigint, rows_after bigint")
+
+
+@query
+def adjusted_feed_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """Unusable dates are left out, everything else is read."""
+    feed = readers.read_adjusted(spark, t.dirty_adjusted_landing(spark, sf))
+    return plain(readers.adjusted_bars(feed, FLOOR).drop(ORDINAL))
+
+
+@query
+def repair_update_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """Source rows with a price that no stored column can hold are skipped."""
+    feed = readers.read_adjusted(spark, t.dirty_adjusted_landing(spark, sf))
+    fixed, _, _ = jobs.repaired(t.quality_bars(spark, sf), readers.adjusted_bars(feed), "jumps")
+    return plain(fixed.select("symbol", "date", "open", "high", "low", "close", "volume"))
+
+
 # -- display labels --------------------------------------------------------------------------
 
 

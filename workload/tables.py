@@ -7,6 +7,7 @@ tables are small projections of it, as the screens are meant to run over stored
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,11 @@ from pyspark.sql.window import WindowSpec
 
 from barscreen.functions.numeric import ratio, round_to
 from barscreen.operators.rolling import over_series
-from barscreen.operators.upsert import ORDINAL
+from barscreen.operators.upsert import ORDINAL, upsert
+from barscreen.plans import jobs
 from barscreen.schemas import BARS, EQUITY_FEED, INDEX_FEED
 from barscreen.session import new_folder, staged
+from barscreen.sources.store import Store
 
 BENCHMARK = "MARKET"
 SPLIT_BRANDS = ("BRAND#1", "BRAND#13")
@@ -50,14 +53,19 @@ def brand_symbol() -> Column:
     return F.upper("p_brand")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Line items as trades of their brand, or of their supplier: those grow with the tables."""
     lines = given(spark, sf_dir, "lineitem")
-    parts = given(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    if by == "brand":
+        parts = given(spark, sf_dir, "part").select("p_partkey", brand_symbol().alias("symbol"))
+        lines = lines.join(parts, lines.l_partkey == parts.p_partkey)
+    else:
+        lines = lines.withColumn("symbol", F.concat(F.lit("SUPPLIER#"), F.col("l_suppkey").cast("string")))
     order = ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
     # prices have two decimals: whole cents stay exact and cheap until after the aggregate
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
-    return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
-        brand_symbol().alias("symbol"),
+    return lines.select(
+        "symbol",
         F.col("l_shipdate").cast("date").alias("date"),
         cents.alias("px"),
         F.col("l_quantity").cast("bigint").alias("qty"),
@@ -77,7 +85,7 @@ def _price(cents: Column | str, kind: str = "decimal(12,2)") -> Column:
     return (c * F.expr("0.01BD")).cast(kind)
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
     """One row per symbol and date, with plain and folded prices: the only pass over the lines."""
 
     def with_lags(rows: DataFrame, w: WindowSpec) -> DataFrame:
@@ -87,7 +95,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         per_day = (
-            trades(spark, sf_dir)
+            trades(spark, sf_dir, by)
             .groupBy("date", "symbol")  # the date decides most comparisons of the sort
             .agg(
                 F.min_by("px", "k").alias("open"),
@@ -118,11 +126,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
             }
         )
 
-    return _once(spark, sf_dir, "daily", build)
+    return _once(spark, sf_dir, f"daily-{by}", build)
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily(spark, sf_dir).select(*BARS.names)
+def bars(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    return daily(spark, sf_dir, by).select(*BARS.names)
 
 
 def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,6 +319,25 @@ def _adjusted_cells(volume: str | None) -> list[Column]:
     ]
 
 
+def dirty_adjusted_landing(spark: SparkSession, sf_dir: str) -> str:
+    """The second source with unusable dates on the 7th and prices out of range on the 9th."""
+
+    def build() -> str:
+        text = spark.read.option("header", True).csv(adjusted_landing(spark, sf_dir))
+        day = F.substring("Date", 9, 2)
+        path = new_folder(spark, "landing-dirty")
+        dirty = text.withColumns(
+            {
+                "Close": F.when(day == "09", "1e30").otherwise(F.col("Close")),
+                "Date": F.when(day == "07", "n/a").otherwise(F.col("Date")),
+            }
+        )
+        dirty.write.option("header", True).csv(path)
+        return path
+
+    return _once(spark, sf_dir, "landing-dirty", build)
+
+
 def metadata_landing(spark: SparkSession, sf_dir: str) -> str:
     """JSON lines with nested info; some brands know nothing, some only one field."""
 
@@ -380,3 +407,56 @@ def master_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.groupBy(brand_symbol().alias("symbol")).agg(
         F.max("p_name").alias("company_name"), F.max("p_size").cast("int").alias("lot_size")
     )
+
+
+# -- stores ------------------------------------------------------------------------------
+
+
+def eligible_landing(spark: SparkSession, sf_dir: str) -> str:
+    """The list of eligible symbols: every brand but one."""
+
+    def build() -> str:
+        path = new_folder(spark, "landing-eligible")
+        listed = master_batch(spark, sf_dir).select("symbol", F.col("company_name").alias("Underlying"))
+        listed.write.option("header", True).csv(path)
+        return path
+
+    return _once(spark, sf_dir, "landing-eligible", build)
+
+
+def market_store(spark: SparkSession, sf_dir: str) -> Store:
+    """All market tables in a store."""
+
+    def build() -> str:
+        store = Store(spark, new_folder(spark, "store"))
+        jobs.store_series(store, "daily_ohlcv", bars(spark, sf_dir))
+        jobs.store_series(store, "index_ohlcv", index(spark, sf_dir))
+        jobs.store_bans(store, bans(spark, sf_dir))
+        store.apply("fno_stocks", master(spark, sf_dir), lambda old, new: upsert(old, new, ["symbol"]))
+        return store.root
+
+    return Store(spark, _once(spark, sf_dir, "store", build))
+
+
+def collected(
+    spark: SparkSession, sf_dir: str, start: dt.date, middle: dt.date, end: dt.date
+) -> tuple[Store, DataFrame]:
+    """A store filled by two collections, up to ``middle`` and ``end``, and the second report."""
+
+    def build() -> str:
+        store = Store(spark, new_folder(spark, "collected"))
+        landing = jobs.Landing(
+            store.path("no-other-feeds"),
+            eligible=eligible_landing(spark, sf_dir),
+            equity=equity_landing(spark, sf_dir),
+            index=index_landing(spark, sf_dir),
+            bans=ban_landing(spark, sf_dir),
+        )
+        for today in (middle, end):
+            report = jobs.collect_all(spark, landing, store, start, today)
+        counts = spark.createDataFrame(list(report.rows.items()), "step string, n_rows bigint")
+        counts.write.parquet(store.path("_report"))
+        return store.root
+
+    store = Store(spark, _once(spark, sf_dir, f"collected-{start}-{middle}-{end}", build))
+    return store, spark.read.parquet(store.path("_report"))
