@@ -14,12 +14,12 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: str | None = ORDINAL
     """Keep the row written last for each key and drop the ordinal column.
 
     An aggregate rather than a ranking window: many copies of one key are combined on the
-    map side and never meet in one task.
+    map side and never meet in one task. Of rows without an ordinal the one with the largest
+    values wins, compared column by column, so that a repeated run keeps the same row.
     """
-    if order not in df.columns:
-        return df.dropDuplicates(list(keys))
     rest = [c for c in df.columns if c not in (*keys, order)]
-    newest = F.max_by(F.struct(*rest) if rest else F.lit(0), F.struct(order))
+    values = F.struct(*rest) if rest else F.lit(0)
+    newest = F.max_by(values, F.struct(order)) if order in df.columns else F.max(values)
     picked = df.groupBy(*keys).agg(newest.alias("_row"))
     return picked.select(*keys, *(F.col("_row").getField(c).alias(c) for c in rest))
 
@@ -60,13 +60,18 @@ def upsert_partial(
     return joined.select(*(value(c) for c in existing.columns))
 
 
-def insert_ignore(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert rows whose key is not there yet; stored rows stay as they are."""
+def new_rows(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for each key of ``new`` that is not in ``existing``, in its columns."""
     batch = new.dropDuplicates(list(keys))
     if "created_at" in existing.columns and "created_at" not in batch.columns:
         batch = batch.withColumn("created_at", F.current_timestamp())
     fresh = batch.join(existing.select(*keys), list(keys), "left_anti")
-    return existing.unionByName(fresh.select(*existing.columns))
+    return fresh.select(*existing.columns)
+
+
+def insert_ignore(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Insert rows whose key is not there yet; stored rows stay as they are."""
+    return existing.unionByName(new_rows(existing, new, keys))
 
 
 def keyed_update(

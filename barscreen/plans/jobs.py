@@ -17,7 +17,6 @@ from ..operators.quality import (
     repair_report,
 )
 from ..operators.upsert import (
-    insert_ignore,
     metadata_updates,
     update_metadata,
     upsert,
@@ -84,9 +83,7 @@ def store_series(store: Store, name: str, rows: DataFrame) -> int:
 
 def store_bans(store: Store, rows: DataFrame) -> int:
     """Add ban rows that are not stored yet."""
-    keys = ["trade_date", "symbol"]
-    added = store.apply("fno_ban_period", rows, lambda old, new: insert_ignore(old, new, keys))
-    return added["rows"]
+    return store.add("fno_ban_period", rows)
 
 
 def store_metadata(store: Store, rows: DataFrame) -> int:

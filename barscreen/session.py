@@ -34,9 +34,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/barscreen/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/barscreen/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below the application's own folder."""
+    return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has staged; for the end of a session.
+
+    DataFrames that read staged tables can't be used afterwards, nor stores or stream states in
+    folders from ``new_folder``.
+    """
+    delete_folder(spark, _session_folder(spark))
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

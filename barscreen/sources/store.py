@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.upsert import new_rows
 from ..schemas import TABLES, Table
 from ..session import delete_folder, folder_exists, staging, subfolders
 
@@ -98,6 +99,25 @@ class Store:
                 self.recover(name)
         return counts
 
+    def add(self, name: str, batch: DataFrame) -> int:
+        """Append the batch rows whose key is not stored yet; no stored file is rewritten.
+
+        Returns the number of batch rows. An append that broke off is simply repeated: what it
+        had stored is not new any more.
+        """
+        self.recover(name)
+        table, seen = TABLES[name], Observation()
+        with staging(self.spark, name) as stage:
+            landed = stage(batch.observe(seen, F.count(F.lit(1)).alias("rows")), "batch")
+            count = seen.get["rows"]
+            if count:
+                fresh = new_rows(self._touched(table, landed), landed, table.keys)
+                if table.date_column:
+                    fresh = fresh.withColumn(MONTH, _month(table)).hint("rebalance", F.col(MONTH))
+                parts = [MONTH] if table.date_column else []
+                fresh.write.mode("append").partitionBy(*parts).parquet(self.path(name))
+        return count
+
     def _touched(self, table: Table, batch: DataFrame) -> DataFrame:
         """Stored rows of the months that occur in the batch."""
         stored = self._stored(table)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from barscreen.operators.rolling import rolling_indicators
 from barscreen.operators.upsert import upsert
 from barscreen.plans import metrics, screens
+from barscreen.session import clear
 from workload import tables
 from workload.queries import QUERIES
 
@@ -96,6 +97,7 @@ def main() -> None:
         for name, df in supplier_frames(spark, sf_dir).items()
     }
     rows = tables.bars(spark, sf_dir, "supplier").count()
+    clear(spark)
     spark.stop()
     print(
         json.dumps(

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from barscreen import session
 from barscreen.operators import lookups
 from barscreen.operators.upsert import (
     ORDINAL,
@@ -72,6 +73,15 @@ def test_copies_of_one_key_are_combined_before_the_shuffle(spark):
     assert "partial_max_by" in plan
 
 
+def test_without_an_ordinal_the_largest_row_wins(spark):
+    rows = [("A", 1, None), ("A", 3, 1), ("A", 3, 2), ("B", None, None)]
+    for order in (rows, rows[::-1]):
+        kept = last_per_key(spark.createDataFrame(order, "symbol string, x int, y int"), ["symbol"])
+        assert pairs(kept, "symbol", "x", "y") == [("A", 3, 2), ("B", None, None)]
+    keys_only = spark.createDataFrame([("A",), ("A",)], "symbol string")
+    assert pairs(last_per_key(keys_only, ["symbol"]), "symbol") == [("A",)]
+
+
 def test_upsert_overwrites_and_is_idempotent(make):
     old = make("bars", series("A", [1, 2, 3]))
     new = make("bars", series("A", [1, 9]) + series("B", [5]))
@@ -111,6 +121,32 @@ def test_insert_ignore(make):
     assert set(rows) == {"A", "B"} and rows["B"].created_at is not None
 
 
+def test_new_bans_are_appended(make, store, tmp_path):
+    def ban(i, symbol):
+        return {"trade_date": day(i), "symbol": symbol}
+
+    def files():
+        found = (tmp_path / "store" / "fno_ban_period").rglob("*.parquet")
+        return {f: f.stat().st_mtime_ns for f in found}
+
+    assert jobs.store_bans(store, make("bans", [ban(0, "A"), ban(40, "A"), ban(0, "A")])) == 3
+    before = files()
+    assert jobs.store_bans(store, make("bans", [ban(0, "A"), ban(0, "B")])) == 2
+    assert before.items() <= files().items()
+    want = [(day(0), "A"), (day(0), "B"), (day(40), "A")]
+    assert pairs(store.table("fno_ban_period"), "trade_date", "symbol") == want
+    assert jobs.store_bans(store, make("bans", [])) == 0
+
+
+def test_clear_deletes_what_the_session_staged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    session.clear(spark)
+    kept = session.staged(spark.range(3), "numbers")
+    assert kept.count() == 3 and list(tmp_path.rglob("*.parquet"))
+    session.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_keyed_update_only_touches_matches(make, spark):
     bars = make("bars", series("A", [1, 2]))
     source = spark.createDataFrame(
