@@ -257,7 +257,8 @@ def _verified(near: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     texts = docs.join(wanted, "id", "left_semi").select("id", "text")
     known = classes.filter("own").select("id", "n", "sum", "parity")
     sets = shingle_sets(texts, width).join(known, ["id", "n", "sum", "parity"], "left_semi")
-    sets = staged(sets.select("id", "shingles").dropDuplicates(["id"]), "sets")
+    # a doc_id that repeats may stand for several classes: the set of each one counts
+    sets = staged(sets.dropDuplicates(["id", "n", "sum", "parity"]).select("id", "shingles"), "sets")
     su = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
     sv = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
     shared = F.size(F.array_intersect("su", "sv"))

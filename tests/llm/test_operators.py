@@ -164,6 +164,13 @@ def test_parity_join_against_all_pairs(docs):
     assert [out[i + 1]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
 
 
+def test_a_repeated_doc_id_loses_no_link(docs):
+    texts = [" ".join(words(60, i)) for i in range(4)]
+    near = [t + " more" for t in texts]
+    out = parity_join.similar_documents(docs([*texts, *near], [1, 1, 1, 1, 2, 3, 4, 5])).collect()
+    assert len(out) == 8 and {r["component_id"] for r in out} == {1}
+
+
 def test_large_keys_are_compared_in_blocks(docs, monkeypatch):
     monkeypatch.setattr(parity_join, "SMALL", 2)
     monkeypatch.setattr(parity_join, "BLOCK", 3)
