@@ -36,3 +36,11 @@ def test_pipeline_keeps_the_columns_and_packs_everything(spark):
         left = out
     packed = corpus_pipeline.run(spark, SF_DIR)
     assert packed.select("doc_id").distinct().count() == left.select("doc_id").distinct().count() > 0
+
+
+def test_near_copies_of_the_pipeline_share_five_words_at_80_percent(spark):
+    base = [f"w{i}" for i in range(100)]
+    # 96 of 108 five-word shingles are shared, but only 98 of 110 three-word ones
+    texts = [" ".join(base), " ".join(base + [f"x{i}" for i in range(12)]), " ".join(base[:40] + [f"y{i}" for i in range(40)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SF_DIR).collect()} == {0, 2}
