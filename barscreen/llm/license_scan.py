@@ -52,11 +52,6 @@ def _templates(spark: SparkSession) -> DataFrame:
     return words.groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
-def _vocabulary() -> Column:
-    texts = [F.lit(text) for _, text in TEMPLATES]
-    return F.array_distinct(F.flatten(F.array(*[terms(t) for t in texts])))
-
-
 def _lines(files: DataFrame) -> DataFrame:
     lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return lines.filter(F.col("line").rlike(r"[\p{L}\p{N}]")).select("path", "pos", terms(F.col("line")).alias("terms"))
@@ -66,20 +61,21 @@ def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(path, pos, license, score) of every line of ``files`` (path, text) that is a notice.
 
     Weights are term count times ln((lines + 1) / (lines with the term + 1)), counted over all
-    lines with a letter or digit; words of no template count as if they occurred nowhere. Of
-    equal scores the first template wins. Lines are what ``\\n`` separates.
+    lines with a letter or digit. Of equal scores the first template wins. Lines are what
+    ``\\n`` separates.
     """
     spark = files.sparkSession
     lines = _lines(files)
-    # one row for each word of the templates, and one for the number of lines
-    seen = lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("terms", _vocabulary()))).alias("term"))
+    # one row for each word of all lines, and one for the number of lines
+    seen = lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))
     counts = staged(seen.groupBy("term").agg(F.count("*").alias("df")), "term-counts")
     total = counts.filter("term = ''").select((F.col("df") + 1).alias("total"))
     words = _templates(spark)
     one = total.agg(F.max("total").alias("total"))
     rare = one.select(F.log(F.coalesce("total", F.lit(1)).cast("double")).alias("most"))
     most = rare.first()["most"]  # a single number
-    weighted = words.join(F.broadcast(counts), "term", "left").select(
+    known = counts.join(F.broadcast(words.select("term").distinct()), "term")
+    weighted = words.join(F.broadcast(known), "term", "left").select(
         "template", "license", "term", "tf",
         (F.lit(most) - F.log(F.coalesce("df", F.lit(0)).cast("double") + 1)).alias("idf"),
     )
@@ -103,13 +99,14 @@ def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # the templates are fixed: these lists are no longer than their words
     anchors = [r["term"] for r in weighted.filter("anchor").select("term").distinct().sort("term").collect()]
     candidates = lines.filter(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in anchors]).cast("array<string>")))
-    idf = weighted.groupBy("term").agg(F.first("idf").alias("idf"))
+    # the vocabulary is not bounded: its join with the candidates' words is left to Spark
+    idf = counts.select("term", (F.lit(most) - F.log(F.col("df").cast("double") + 1)).alias("idf"))
     parts = (
         candidates.select("path", "pos", F.explode("terms").alias("term"))
         .groupBy("path", "pos", "term")
         .agg(F.count("*").alias("tf"))
-        .join(F.broadcast(idf), "term", "left")
-        .select("path", "pos", "term", (F.col("tf") * F.coalesce("idf", F.lit(most))).alias("w"))
+        .join(idf, "term")
+        .select("path", "pos", "term", (F.col("tf") * F.col("idf")).alias("w"))
     )
     parts = staged(parts, "line-terms")
     norms = parts.groupBy("path", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
