@@ -1,8 +1,9 @@
 """Licence notices by sparse TF-IDF cosine, and licences inherited from directories.
 
 Built-in functions only. Every line of a file is a candidate notice and is compared with short
-licence texts. A cosine of ``threshold`` can't come from a template's commonest words alone, so
-only lines with one of its rarer words are scored. A licence file speaks for its directory; a
+licence texts; every paragraph of several lines, the leading comment and the whole of a licence
+file are compared with these and with fuller texts. A cosine of ``threshold`` can't come from a template's commonest words alone, so
+only those with one of its rarer words are scored. A licence file speaks for its directory; a
 file without a notice of its own takes the licence of the nearest directory above it that has
 one.
 """
@@ -32,6 +33,76 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+    "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. "
+)
+_BSD_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+    "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published "
+    "by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. "
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. "
+    "You should have received a copy of the GNU {1} along with this {0}. If not, see http://www.gnu.org/licenses/."
+)
+# fixed values: bodies, headers of several lines and the titles of licence files
+FULLER = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+     'associated documentation files (the "Software"), to deal in the Software without restriction, including without '
+     "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+     "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+     'the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT '
+     "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+     "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+     "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+     "OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE "
+     'SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL '
+     "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+     "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+     "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION "
+     "WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+     'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for '
+     "the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0", _GNU.format("program", "General Public License", "2")),
+    ("GPL-3.0", _GNU.format("program", "General Public License", "3")),
+    ("LGPL-2.1", _GNU.format("library", "Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser General Public License", "3")),
+    ("AGPL-3.0", _GNU.format("program", "Affero General Public License", "3")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+     "MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+     "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+)
+COMMENT = r"^\s*(#|//|/\*|\*|--|;|%|<!--|$)"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)([^a-z].*)?$"
 THRESHOLD = 0.7
 
@@ -45,7 +116,7 @@ def _templates(spark: SparkSession) -> DataFrame:
     """(template, license, term, tf): as many rows as the templates have words."""
     rows = [
         F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text"))
-        for i, (name, text) in enumerate(TEMPLATES)
+        for i, (name, text) in enumerate(TEMPLATES + FULLER)
     ]
     words = spark.range(1).select(F.inline(F.array(*rows)))
     words = words.select("template", "license", F.explode(terms(F.col("text"))).alias("term"))
@@ -57,8 +128,27 @@ def _lines(files: DataFrame) -> DataFrame:
     return lines.filter(F.col("line").rlike(r"[\p{L}\p{N}]")).select("path", "pos", terms(F.col("line")).alias("terms"))
 
 
+def _blocks(files: DataFrame) -> DataFrame:
+    """(path, kind, pos, terms): 1 paragraphs of several lines, 2 leading comments, 3 licence files.
+
+    Lines without a letter or digit separate paragraphs.
+    """
+    of = F.col("text")
+    several = F.filter(F.split(of, r"\n[^\p{L}\p{N}]*\n", -1), lambda p: p.contains("\n"))
+    lines = F.split(of, "\n", -1)
+    code = F.array_position(F.transform(lines, lambda x: ~x.rlike(COMMENT)), True)
+    head = F.when(code != 1, F.array_join(F.when(code == 0, lines).otherwise(F.slice(lines, 1, F.greatest(code - 1, F.lit(0)).cast("int"))), "\n"))
+    whole = F.when(F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENSE_FILE), of)
+    block = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    blocks = F.concat(F.transform(several, lambda p: block(1, p)), F.array(block(2, head), block(3, whole)))
+    rows = files.filter(of.isNotNull()).select("path", F.posexplode(blocks).alias("pos", "block"))
+    return rows.filter("block.text IS NOT NULL").select("path", "block.kind", "pos", terms(F.col("block.text")).alias("terms"))
+
+
 def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, pos, license, score) of every line of ``files`` (path, text) that is a notice.
+    """(path, kind, pos, license, score) of what is a notice in ``files`` (path, text).
+
+    kind: 0 a line (pos: its number), else as in ``_blocks``; lines meet the short texts only.
 
     Weights are term count times ln((lines + 1) / (lines with the term + 1)), counted over all
     lines with a letter or digit. Of equal scores the first template wins. Lines are what
@@ -97,31 +187,38 @@ def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "templates",
     )
     # the templates are fixed: these lists are no longer than their words
-    anchors = [r["term"] for r in weighted.filter("anchor").select("term").distinct().sort("term").collect()]
-    candidates = lines.filter(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in anchors]).cast("array<string>")))
+    found = weighted.filter("anchor").groupBy("term").agg(F.min("template").alias("first")).sort("term").collect()
+    short = len(TEMPLATES)
+
+    def holding(rows: DataFrame, anchors: list[str]) -> DataFrame:
+        return rows.filter(F.arrays_overlap("terms", F.array(*[F.lit(a) for a in anchors]).cast("array<string>")))
+
+    candidates = holding(lines.select("path", F.lit(0).alias("kind"), "pos", "terms"), [r["term"] for r in found if r["first"] < short])
+    candidates = candidates.unionByName(holding(_blocks(files), [r["term"] for r in found]))
     # the vocabulary is not bounded: its join with the candidates' words is left to Spark
     idf = counts.select("term", (F.lit(most) - F.log(F.col("df").cast("double") + 1)).alias("idf"))
     parts = (
-        candidates.select("path", "pos", F.explode("terms").alias("term"))
-        .groupBy("path", "pos", "term")
+        candidates.select("path", "kind", "pos", F.explode("terms").alias("term"))
+        .groupBy("path", "kind", "pos", "term")
         .agg(F.count("*").alias("tf"))
         .join(idf, "term")
-        .select("path", "pos", "term", (F.col("tf") * F.col("idf")).alias("w"))
+        .select("path", "kind", "pos", "term", (F.col("tf") * F.col("idf")).alias("w"))
     )
     parts = staged(parts, "line-terms")
-    norms = parts.groupBy("path", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = parts.groupBy("path", "kind", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = (
         parts.join(F.broadcast(weighted.select("template", "license", "term", "part")), "term")
-        .groupBy("path", "pos", "template", "license")
+        .filter((F.col("template") < short) | (F.col("kind") > 0))
+        .groupBy("path", "kind", "pos", "template", "license")
         .agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
     )
     best = F.max_by("license", F.struct("score", -F.col("template")))
     return (
-        dots.join(norms, ["path", "pos"])
+        dots.join(norms, ["path", "kind", "pos"])
         # rounded before it is compared, so that the order of a sum can't decide
         .withColumn("score", F.round(F.try_divide("dot", "norm"), 6))
         .filter(F.col("score") >= threshold)
-        .groupBy("path", "pos")
+        .groupBy("path", "kind", "pos")
         .agg(best.alias("license"), F.max("score").alias("score"))
     )
 
@@ -157,14 +254,15 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     license: of the file's best notice (the first of equals), else of the nearest directory;
     score: of the notice; origin: ``notice``, ``directory`` or null; directory: where an
-    inherited licence comes from ('' is the root); n_notices. Rows that share a path, null
+    inherited licence comes from ('' is the root); n_notices:
+    lines, or paragraphs if no line is one, else 1. Rows that share a path, null
     included, are one file; null texts have no notices.
     """
     lines = notices(files.select("path", "text"), threshold)
     own = lines.groupBy("path").agg(
-        F.max_by("license", F.struct("score", -F.col("pos"))).alias("license"),
+        F.max_by("license", F.struct("score", -F.col("kind"), -F.col("pos"))).alias("license"),
         F.max("score").alias("score"),
-        F.count("*").alias("n_notices"),
+        F.coalesce(*[F.nullif(F.count_if(F.col("kind") == k), F.lit(0)) for k in range(4)]).alias("n_notices"),
     )
     own = staged(own, "notices")
     directories = files.select(_directory(F.col("path")).alias("directory")).filter("directory IS NOT NULL").distinct()
