@@ -329,3 +329,12 @@ def representatives(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     found = similar_documents(docs, percent, width)
     gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each (doc_id, text); only rows whose doc_id repeats are shuffled."""
+    many = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select(F.col("doc_id").alias("__many"))
+    many = staged(many, "repeated")
+    same = docs["doc_id"].eqNullSafe(many["__many"])
+    again = docs.join(many, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(many, same, "left_anti").unionByName(again)

@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard of 0.8 at least."""
-    return parity_join.representatives(docs, percent=80, width=5)
+    return parity_join.without_repeats(parity_join.representatives(docs, percent=80, width=5))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

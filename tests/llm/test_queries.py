@@ -44,3 +44,10 @@ def test_near_copies_of_the_pipeline_share_five_words_at_80_percent(spark):
     texts = [" ".join(base), " ".join(base + [f"x{i}" for i in range(12)]), " ".join(base[:40] + [f"y{i}" for i in range(40)])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SF_DIR).collect()} == {0, 2}
+
+
+def test_near_copies_of_the_pipeline_keep_one_of_equal_rows(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "d e f"), (2, "g h i"), (None, "j k"), (None, "j k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, SF_DIR).collect()]
+    assert sorted(out, key=repr) == sorted(set(rows), key=repr)
