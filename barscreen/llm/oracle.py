@@ -112,4 +112,35 @@ ORACLE: dict[str, str] = {
         SELECT v.id AS vec_id, coalesce(n, 0) AS n_links, low AS component_id, v.id = low AS kept
         FROM v LEFT JOIN degree USING (id) JOIN component USING (id)
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ),
+        a AS (SELECT row_number() OVER () AS akey, vec_id AS anchor_id, lab AS alab, q AS aq FROM v WHERE vec_id % 100 = 0),
+        s AS (
+            SELECT akey, anchor_id, alab, vec_id, lab, coalesce(list_sum(list_transform(
+                range(1, least(len(aq), len(q)) + 1), lambda i: aq[i] * q[i])), 0) AS score
+            FROM a, v
+        ),
+        p AS (
+            SELECT akey, anchor_id, vec_id AS positive_id, score AS ps,
+                row_number() OVER (PARTITION BY akey ORDER BY score DESC, vec_id) AS slot
+            FROM s WHERE lab = alab AND vec_id <> anchor_id
+            QUALIFY slot <= 5
+        ),
+        n AS (
+            SELECT p.anchor_id, p.positive_id, p.ps, s.vec_id AS negative_id, s.score AS ns,
+                row_number() OVER (PARTITION BY p.akey, p.slot ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s ON s.akey = p.akey
+            WHERE s.lab <> s.alab AND 80 * p.ps <= 100 * s.score AND s.score <= p.ps
+            QUALIFY rank <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id,
+            ps AS positive_score, ns AS negative_score
+        FROM n
+    """,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     decontaminate,
     embedding_dedup,
+    hard_negatives,
     language_gru,
     length_buckets,
     license_scan,
@@ -73,6 +74,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(given(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(given(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -86,5 +91,6 @@ QUERIES: dict[str, Query] = {
         op8_token_transducer,
         op9_decontamination,
         op10_embedding_dedup,
+        op11_hard_negatives,
     )
 }
