@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    best_fit,
     decontaminate,
     embedding_dedup,
     hard_negatives,
@@ -78,6 +79,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(given(spark, sf_dir, "embeddings"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(given(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -92,5 +97,6 @@ QUERIES: dict[str, Query] = {
         op9_decontamination,
         op10_embedding_dedup,
         op11_hard_negatives,
+        op13_best_fit_packing,
     )
 }

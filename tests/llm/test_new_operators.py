@@ -1,5 +1,6 @@
 """Hard negatives, conversation trie and best-fit packing against plain loops on small rows."""
 
+import itertools
 import math
 import random
 
@@ -74,3 +75,75 @@ def test_hilbert_index_visits_neighbours(bits):
     path = grid[np.argsort(h)]
     assert len(set(h.tolist())) == len(grid)
     assert np.abs(np.diff(path, axis=0)).sum(axis=1).max() == 1
+
+
+DOCS13 = "doc_id long, text string, row_key string, sequence_id int"
+
+
+def test_best_fit_pieces_and_sequences_equal_a_plain_loop(spark):
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from barscreen.llm import best_fit
+    from barscreen.llm.queries import tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "<|endoftext|>", "délta", "\n\n"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 900))) for _ in range(60)]
+    texts += [None, "", "x " * 5000, "x " * 5000, "y" * 3000]  # null, empty, long and repeated rows
+    rows = [(i % 50, t, "clash", 1) for i, t in enumerate(texts)]
+    got = best_fit.pack(spark.createDataFrame(rows, DOCS13), path).collect()
+
+    tok = Tokenizer.from_file(path)
+    expected = []
+    for doc, text, _, _ in rows:
+        ids = np.asarray(tok.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        for n, (start, length) in enumerate(best_fit.cut(len(ids))):
+            expected.append((doc, n, start, length, zlib.crc32(ids[start : start + length].tobytes())))
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(expected)
+    assert any(p[1] > 0 for p in expected) and all(p[3] <= 2048 for p in expected)
+
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(parts))
+        assert sum(length for _, length in parts) <= 2048
+    first_fit = []  # first fit decreasing, for comparison
+    for length in sorted((r.length for r in got), reverse=True):
+        for i, used in enumerate(first_fit):
+            if used + length <= 2048:
+                first_fit[i] += length
+                break
+        else:
+            first_fit.append(length)
+    big = sum(1 for r in got if r.length > 1024)
+    assert max(big, -(-sum(first_fit) // 2048)) <= len(sequences) <= len(first_fit)
+
+
+def test_best_fit_finds_the_fullest_bins():
+    from barscreen.llm import best_fit
+
+    # first fit decreasing needs three bins of 10 here, the fullest combinations two
+    lengths = [6, 5, 5, 4]
+    assert len(set(best_fit.pack_lengths(lengths, 10))) == 2
+    rng = random.Random(1)
+    halves = [rng.randrange(1, 2048) for _ in range(400)]
+    lengths = halves + [2048 - h for h in halves]
+    rng.shuffle(lengths)
+    bins = best_fit.pack_lengths(lengths)
+    assert len(set(bins)) == 400
+    for b in set(bins):
+        assert sum(length for length, x in zip(lengths, bins) if x == b) <= 2048
+    assert len(best_fit.pack_lengths([])) == 0
+
+
+def test_best_fit_of_an_empty_table(spark):
+    from barscreen.llm import best_fit
+    from barscreen.llm.queries import tokenizer
+
+    assert best_fit.pack(spark.createDataFrame([], DOCS13), tokenizer("byte_bpe_50k.json")).count() == 0
