@@ -16,6 +16,7 @@ from . import (
     license_scan,
     line_dedup,
     parity_join,
+    prefix_trie,
     quality_crf,
     secret_grammar,
     token_transducer,
@@ -79,6 +80,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(given(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(given(spark, sf_dir, "conversations"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(given(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
         op9_decontamination,
         op10_embedding_dedup,
         op11_hard_negatives,
+        op12_conversation_trie,
         op13_best_fit_packing,
     )
 }

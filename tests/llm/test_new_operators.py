@@ -1,12 +1,16 @@
 """Hard negatives, conversation trie and best-fit packing against plain loops on small rows."""
 
 import itertools
+import os
+import sys
 import math
 import random
 
 import pytest
 
-from barscreen.llm import hard_negatives
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from barscreen.llm import hard_negatives  # noqa: E402
 
 EMB = "vec_id long, embedding array<float>, label int, hard_negatives string"
 
@@ -147,3 +151,37 @@ def test_best_fit_of_an_empty_table(spark):
     from barscreen.llm.queries import tokenizer
 
     assert best_fit.pack(spark.createDataFrame([], DOCS13), tokenizer("byte_bpe_50k.json")).count() == 0
+
+
+CONV = "conv_id long, turn long, role string, text string, depth int, node string"
+
+
+def trie_rows(spark, rows):
+    from barscreen.llm import prefix_trie
+
+    df = spark.createDataFrame([(*r, 9, "clash") for r in rows], CONV)
+    return sorted((tuple(r) for r in prefix_trie.trie(df).select(*prefix_trie.OUT_COLUMNS).collect()), key=repr)
+
+
+def test_conversation_trie_equals_a_plain_loop(spark):
+    from trie_brute import brute_trie
+
+    rng = random.Random(7)
+    texts = ["hi there", "hello", "", "how are you?", "fine  thanks\tbye", None]
+    rows = []
+    for conv in list(range(0, 70)) + [100, 101, 119, -3, -20]:
+        for turn in range(rng.randrange(0, 7)):
+            rows.append((conv, turn, rng.choice(["user", "assistant", None]), rng.choice(texts)))
+    rows += [(5, None, "user", "first"), (5, None, "user", "first"), (6, 2, "user", "again"), (None, 1, "user", "x")]
+    rows += [(200, 0, "user", "w " * 3000)]
+    assert trie_rows(spark, rows) == brute_trie(rows)
+
+
+def test_conversation_trie_of_no_rows_and_of_turnless_conversations(spark):
+    from trie_brute import brute_trie
+
+    assert trie_rows(spark, []) == []
+    rows = [(41, 0, "user", "a"), (41, 1, "user", "b"), (None, 0, "user", "c")]
+    got = trie_rows(spark, rows)
+    assert got == brute_trie(rows)
+    assert got[0][1] == 0 and got[0][3] == 1
