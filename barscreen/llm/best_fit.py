@@ -32,6 +32,7 @@ from ..session import staged
 CAPACITY = 2048
 SHARD_PIECES = 20_000
 END_ID = 0
+ENCODE_CHARS = 1 << 20  # characters given to the tokenizer at once (its encodings are large)
 
 PIECES = "row_key bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -56,24 +57,36 @@ def cut(n_ids: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n_ids, capacity)]
 
 
+def _bounded(texts: list[str], most_chars: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts holding about ``most_chars`` characters (a longer text alone)."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and held + len(text) > most_chars:
+            yield start, i
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _pieces(tokenizer_path: str, capacity: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            encoded = tok.encode_batch(texts, add_special_tokens=False) if texts else []
-            out: dict[str, list] = {k: [] for k in ("row_key", "doc_id", "piece", "start", "length", "ids_crc32")}
             keys, ids = batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist()
-            for key, doc, enc in zip(keys, ids, encoded, strict=True):
-                words = np.asarray(enc.ids + [END_ID], dtype="<u4")
-                for n, (start, length) in enumerate(cut(len(words), capacity)):
-                    out["row_key"].append(key)
-                    out["doc_id"].append(doc)
-                    out["piece"].append(n)
-                    out["start"].append(start)
-                    out["length"].append(length)
-                    out["ids_crc32"].append(zlib.crc32(words[start : start + length].tobytes()))
-            yield pa.RecordBatch.from_pydict(out, schema=_PIECES_SCHEMA)
+            for lo, hi in _bounded(texts, ENCODE_CHARS):
+                out: dict[str, list] = {k: [] for k in _PIECES_SCHEMA.names}
+                for key, doc, enc in zip(keys[lo:hi], ids[lo:hi], tok.encode_batch(texts[lo:hi], add_special_tokens=False), strict=True):
+                    words = np.asarray(enc.ids + [END_ID], dtype="<u4")
+                    for n, (start, length) in enumerate(cut(len(words), capacity)):
+                        out["row_key"].append(key)
+                        out["doc_id"].append(doc)
+                        out["piece"].append(n)
+                        out["start"].append(start)
+                        out["length"].append(length)
+                        out["ids_crc32"].append(zlib.crc32(words[start : start + length].tobytes()))
+                yield pa.RecordBatch.from_pydict(out, schema=_PIECES_SCHEMA)
 
     return split
 
