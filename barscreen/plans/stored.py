@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bans as ban_ops
 from ..operators import lookups
+from ..operators.rolling import reach
 from ..sources.store import Store
 from . import metrics, screens
 from .screens import BENCHMARK
@@ -47,12 +48,13 @@ def screen_latest(
 ) -> DataFrame:
     """A screen on the stored table's last date, with ban marks (K8).
 
-    Only symbols that trade on that date are looked back upon. A look-back counts rows, not
-    days, so earlier months are not cut.
+    Only symbols that trade on that date are looked back upon, and only the months that hold
+    the screen's look-back rows of each of them are read (A10).
     """
     last = store.last_date("daily_ohlcv")
     trading = store.table("daily_ohlcv", last, last).select("symbol")
-    bars = store.table("daily_ohlcv").join(trading, "symbol", "left_semi")
+    needed = reach(screens.get_screen(screen_id).indicators) + 1
+    bars = store.recent("daily_ohlcv", needed, among=trading).join(trading, "symbol", "left_semi")
     return screens.run_screen(
         bars, current_bans(store), screen_id, index=store.table("index_ohlcv"),
         as_of="latest" if last is None else last, exclude=exclude, benchmark=benchmark,
@@ -68,8 +70,11 @@ def ytd_anchor(store: Store) -> DataFrame:
 
 
 def stock_metrics(store: Store, benchmark: str = BENCHMARK) -> DataFrame:
-    """Latest bar and look-back metrics of every stored symbol (K9)."""
+    """Latest bar and look-back metrics of every stored symbol (K9).
+
+    Only the months that hold the newest year of rows of every symbol are read (A10).
+    """
     return metrics.stock_metrics(
-        store.table("daily_ohlcv"), store.table("index_ohlcv"), benchmark=benchmark,
+        store.recent("daily_ohlcv", metrics.YEAR_ROWS), store.table("index_ohlcv"), benchmark=benchmark,
         anchor=ytd_anchor(store),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,10 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def counts_path(self, name: str) -> str:
+        """Rows per (month, key) of a time series; small, rewritten for the months a write touches."""
+        return f"{self.root}/_month_counts/{name}"
+
     def pending_path(self, name: str) -> str:
         """Merged rows on their way into the table; Spark skips folders with an underscore."""
         return f"{self.root}/_pending/{name}"
@@ -59,6 +63,55 @@ class Store:
             rows = rows.filter((month <= _month_of(end)) & (date <= F.lit(end)))
         return rows.select(*table.schema.names)
 
+    def recent(self, name: str, rows: int, among: DataFrame | None = None) -> DataFrame:
+        """The newest months of a time series that hold the newest ``rows`` rows of every key (A10).
+
+        The walk runs over the month counts, from the newest month backwards: each key stops at
+        the first month at which its running count reaches ``rows``, or at its oldest month.
+        Only months from the earliest stop on are read, so the scan's partition filter leaves
+        older months out. ``among`` (one column, the key) limits the keys that must reach it.
+        """
+        table = TABLES[name]
+        key, month = _entity(table), F.col(MONTH)
+        counts = self.month_counts(name)
+        if among is not None:
+            counts = counts.join(among.select(key).distinct(), key, "left_semi")
+        newest_first = Window.partitionBy(key).orderBy(month.desc()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        walked = counts.withColumn("running", F.sum("n").over(newest_first))
+        stops = walked.groupBy(key).agg(
+            F.coalesce(F.max(F.when(F.col("running") >= rows, month)), F.min(month)).alias("stop")
+        )
+        cutoff = stops.agg(F.min("stop")).first()[0]
+        if cutoff is None:
+            return self.table(name).limit(0) if among is not None else self.table(name)
+        stored = self._stored(table).filter(month >= F.lit(cutoff))
+        return stored.select(*table.schema.names)
+
+    def month_counts(self, name: str) -> DataFrame:
+        """(month, key, n) of a time series, built from the table once if a store has none yet."""
+        table = TABLES[name]
+        schema = f"{MONTH} int, {_entity(table)} string, n bigint"
+        if not folder_exists(self.spark, f"{self.counts_path(name)}/_SUCCESS"):
+            self._count_months(table, None)
+        if not folder_exists(self.spark, self.counts_path(name)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.counts_path(name))
+
+    def _count_months(self, table: Table, months: list[int] | None) -> None:
+        """Count the rows of the given months (all if None) into the month counts."""
+        stored = self._stored(table)
+        if months is not None:
+            stored = stored.filter(F.col(MONTH).isin(months))
+        counts = stored.groupBy(MONTH, _entity(table)).agg(F.count(F.lit(1)).alias("n"))
+        writer = counts.repartition(MONTH).write.partitionBy(MONTH)
+        path = self.counts_path(table.name)
+        if months is None:
+            writer.mode("overwrite").parquet(path)
+        else:
+            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
     def last_date(self, name: str) -> dt.date | None:
         """Latest date of a time series, from its newest month."""
         table = TABLES[name]
@@ -116,6 +169,9 @@ class Store:
                     fresh = fresh.withColumn(MONTH, _month(table)).hint("rebalance", F.col(MONTH))
                 parts = [MONTH] if table.date_column else []
                 fresh.write.mode("append").partitionBy(*parts).parquet(self.path(name))
+                if table.date_column:
+                    # counts that miss an append only make a walk read further back
+                    self._count_months(table, _months_in(landed.withColumn(MONTH, _month(table))))
         return count
 
     def _touched(self, table: Table, batch: DataFrame) -> DataFrame:
@@ -144,11 +200,23 @@ class Store:
                 .partitionBy(MONTH)
                 .parquet(self.path(name))
             )
+            # the counts of the rewritten months, before the pending rows go
+            self._count_months(table, _months_in(rows))
         else:
             rows.write.mode("overwrite").parquet(self.path(name))
         delete_folder(self.spark, pending)
 
 
+def _entity(table: Table) -> str:
+    """The key column that is not the date: what a series belongs to."""
+    return next(k for k in table.keys if k != table.date_column)
+
+
+def _months_in(rows: DataFrame) -> list[int]:
+    # calendar months: twelve values per year of data
+    return [row[0] for row in rows.select(MONTH).distinct().collect()]
+
+
 def _month_of(date: dt.date) -> int:
     return date.year * 100 + date.month
 

@@ -482,3 +482,62 @@ def test_undated_rows_are_counted_and_set_aside(spark, tmp_path):
     assert counts == {"equity_read": 3, "equity_undated": 1, "daily_ohlcv": 2}
     aside = spark.read.parquet(store.aside_path("equity")).collect()
     assert len(aside) == 1 and '"Date":"soon"' in aside[0].row
+
+
+def _months_read(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("PartitionFilters: [isnotnull(month"), plan
+
+
+def test_look_backs_walk_months_back_and_read_no_older_month(spark, make, store):
+    closes = [100 + (i * 7) % 23 for i in range(400)]
+    rows = series("A", closes, volume=[1000 + 37 * (i % 11) for i in range(400)])
+    rows += series("B", closes[:30])  # listed lately: all its months
+    old = series("C", closes[:300])  # stopped trading long ago
+    rows += [{**r, "date": r["date"] - dt.timedelta(days=500)} for r in old]
+    jobs.store_series(store, "daily_ohlcv", make("bars", rows))
+    whole = store.table("daily_ohlcv")
+
+    year = store.recent("daily_ohlcv", 252, among=whole.filter("symbol = 'A'").select("symbol"))
+    months = sorted({r.date.year * 100 + r.date.month for r in year.select("date").collect()})
+    assert months[0] == 202505  # 252 days back from 2026-02-04 end in May 2025, not earlier
+    assert year.filter("symbol = 'A'").count() >= 252
+    scans, plan = _months_read(year)
+    assert scans == 1 and "month#" in plan and ">= 202505" in plan, plan
+
+    # every stored symbol: C's newest year lies far back, so the walk reaches it
+    every = store.recent("daily_ohlcv", 252)
+    assert 252 <= every.filter("symbol = 'C'").count() < 300  # whole months, not all of C's rows
+    got = pairs(stored.stock_metrics(store, "NIFTY"), "symbol", "pct_1y", "above_sma_200", "delta_52w_high")
+    from barscreen.plans import metrics
+
+    anchor = stored.ytd_anchor(store)
+    want = pairs(metrics.stock_metrics(whole, store.table("index_ohlcv"), benchmark="NIFTY", anchor=anchor),
+                 "symbol", "pct_1y", "above_sma_200", "delta_52w_high")
+    assert got == want and len(got) == 3
+
+    screen = stored.screen_latest(store, "upward-breakout", benchmark="NIFTY", ordered=False)
+    assert _months_read(screen)[0] >= 1
+    from barscreen.plans import screens
+
+    last = store.last_date("daily_ohlcv")
+    full = screens.run_screen(whole, store.table("fno_ban_period"), "upward-breakout",
+                              index=store.table("index_ohlcv"), as_of=last, benchmark="NIFTY", ordered=False)
+    assert sorted(map(tuple, screen.collect())) == sorted(map(tuple, full.collect()))
+
+
+def test_month_counts_follow_every_write_and_are_rebuilt_if_missing(spark, make, store, tmp_path):
+    jobs.store_series(store, "daily_ohlcv", make("bars", series("A", [1] * 40)))
+    counts = {(r.month, r.symbol): r.n for r in store.month_counts("daily_ohlcv").collect()}
+    assert counts == {(202501, "A"): 31, (202502, "A"): 9}
+    jobs.store_series(store, "daily_ohlcv", make("bars", [{**series("B", [5])[0], "date": dt.date(2025, 2, 20)}]))
+    counts = {(r.month, r.symbol): r.n for r in store.month_counts("daily_ohlcv").collect()}
+    assert counts == {(202501, "A"): 31, (202502, "A"): 9, (202502, "B"): 1}
+    jobs.store_bans(store, make("bans", [{"trade_date": day(i), "symbol": "A"} for i in (0, 40)]))
+    assert store.month_counts("fno_ban_period").count() == 2
+
+    session.delete_folder(spark, store.counts_path("daily_ohlcv"))
+    again = {(r.month, r.symbol): r.n for r in store.month_counts("daily_ohlcv").collect()}
+    assert again == counts
+    assert store.recent("daily_ohlcv", 5).count() == 10  # February holds A's last 9 and B's row
+    assert store.recent("daily_ohlcv", 10).count() == 41
