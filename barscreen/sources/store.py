@@ -14,14 +14,25 @@ from ..schemas import TABLES, Table
 from ..session import delete_folder, folder_exists, staging, subfolders
 
 MONTH = "month"
+KEEP_SNAPSHOTS = 3  # finished snapshots of a keyed table kept for readers that pinned one
+LEASE_SECONDS = 2 * 3600  # a claim whose snapshot never finished may be taken over after this
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has claimed the snapshot that this write would make."""
+
+
 class Store:
     """Reads tables and applies keyed writes; one writer per table at a time.
 
     Time series are partitioned by month, and a write replaces only the months it touches.
+    Keyed tables without a date (A12, A15) are numbered snapshots: a write makes the next one
+    and Spark's ``_SUCCESS`` marker publishes it, so a reader sees the old rows or the new ones,
+    never a half-written or deleted folder, and a DataFrame keeps the snapshot it was made
+    from. A writer first claims the next number with a file that only one can create: a second
+    writer that started from the same snapshot raises ``ConcurrentWrite`` (K19).
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -39,10 +50,24 @@ class Store:
         """Merged rows on their way into the table; Spark skips folders with an underscore."""
         return f"{self.root}/_pending/{name}"
 
-    def _stored(self, table: Table) -> DataFrame:
+    def snapshots_path(self, name: str) -> str:
+        return f"{self.root}/_snapshots/{name}"
+
+    def snapshot(self, name: str) -> int | None:
+        """Number of the newest finished snapshot of a keyed table; None before the first."""
+        root = self.snapshots_path(name)
+        done = [int(f) for f in subfolders(self.spark, root) if f.isdigit()]
+        done = [n for n in done if folder_exists(self.spark, f"{root}/{n}/_SUCCESS")]
+        return max(done) if done else None
+
+    def _stored(self, table: Table, version: int | None = None) -> DataFrame:
         schema = table.schema
         if table.date_column:
             schema = T.StructType([*schema.fields, T.StructField(MONTH, T.IntegerType())])
+        else:
+            version = self.snapshot(table.name) if version is None else version
+            if version is not None:
+                return self.spark.read.schema(schema).parquet(f"{self.snapshots_path(table.name)}/{version}")
         if not folder_exists(self.spark, self.path(table.name)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(table.name))
@@ -143,6 +168,8 @@ class Store:
         rules = {"rows": F.lit(True), **(counters or {})}
         seen = Observation()
         counted = batch.observe(seen, *(F.count_if(rule).alias(c) for c, rule in rules.items()))
+        if not TABLES[name].date_column:
+            return self._apply_snapshot(name, counted, merge, rules, seen)
         with staging(self.spark, name) as stage:
             landed = stage(counted, "batch")
             counts = {c: seen.get[c] for c in rules}
@@ -152,6 +179,55 @@ class Store:
                 self.recover(name)
         return counts
 
+    def _apply_snapshot(self, name: str, counted: DataFrame, merge: Merge, rules: dict, seen) -> dict[str, int]:
+        """Merge into the next snapshot of a keyed table, claimed before anything is read."""
+        base = self.snapshot(name)
+        target = 0 if base is None else base + 1
+        claim = self._claim(name, target)
+        try:
+            with staging(self.spark, name) as stage:
+                landed = stage(counted, "batch")
+                counts = {c: seen.get[c] for c in rules}
+                if counts["rows"]:
+                    merged = merge(self._stored(TABLES[name], base), landed)
+                    merged.write.mode("overwrite").parquet(f"{self.snapshots_path(name)}/{target}")
+                    self._forget(name, target)
+                    return counts
+        except BaseException:
+            delete_folder(self.spark, claim)
+            raise
+        delete_folder(self.spark, claim)
+        return counts
+
+    def _claim(self, name: str, version: int) -> str:
+        """Create the claim of a snapshot number; raise if a live writer holds it already."""
+        claim = f"{self.snapshots_path(name)}/{version}.claim"
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(claim)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for _ in range(2):
+            try:
+                fs.create(path, False).close()  # only one writer can create it
+                return claim
+            except Exception as taken:  # noqa: BLE001 - the JVM's FileAlreadyExistsException
+                if not fs.exists(path):
+                    raise
+                age = (jvm.System.currentTimeMillis() - fs.getFileStatus(path).getModificationTime()) / 1000
+                finished = fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.snapshots_path(name)}/{version}/_SUCCESS"))
+                if finished or age < LEASE_SECONDS:
+                    raise ConcurrentWrite(f"{name}: snapshot {version} is claimed by another writer") from taken
+                # a writer that died long ago: its half-written snapshot goes, the claim is taken over
+                delete_folder(self.spark, f"{self.snapshots_path(name)}/{version}")
+                fs.delete(path, False)
+        raise ConcurrentWrite(f"{name}: snapshot {version} is claimed by another writer")
+
+    def _forget(self, name: str, newest: int) -> None:
+        """Delete snapshots and claims older than the last ``KEEP_SNAPSHOTS``."""
+        for entry in subfolders(self.spark, self.snapshots_path(name)):
+            number = entry.removesuffix(".claim")
+            if number.isdigit() and int(number) <= newest - KEEP_SNAPSHOTS:
+                delete_folder(self.spark, f"{self.snapshots_path(name)}/{entry}")
+
     def add(self, name: str, batch: DataFrame) -> int:
         """Append the batch rows whose key is not stored yet; no stored file is rewritten.
 
@@ -203,7 +279,11 @@ class Store:
             # the counts of the rewritten months, before the pending rows go
             self._count_months(table, _months_in(rows))
         else:
-            rows.write.mode("overwrite").parquet(self.path(name))
+            # pending rows of a keyed table come from stores of the earlier layout
+            base = self.snapshot(name)
+            target = 0 if base is None else base + 1
+            self._claim(name, target)
+            rows.write.mode("overwrite").parquet(f"{self.snapshots_path(name)}/{target}")
         delete_folder(self.spark, pending)
 
 

@@ -541,3 +541,44 @@ def test_month_counts_follow_every_write_and_are_rebuilt_if_missing(spark, make,
     assert again == counts
     assert store.recent("daily_ohlcv", 5).count() == 10  # February holds A's last 9 and B's row
     assert store.recent("daily_ohlcv", 10).count() == 41
+
+
+def _upsert_symbol(old, new):
+    from barscreen.operators.upsert import upsert
+
+    return upsert(old, new, ["symbol"])
+
+
+def test_a_reader_keeps_its_snapshot_while_the_table_is_replaced(make, store, spark):
+    store.apply("fno_stocks", make("master", [{"symbol": "A"}, {"symbol": "B"}]), _upsert_symbol)
+    pinned = store.table("fno_stocks")
+    store.apply("fno_stocks", make("master", [{"symbol": "C"}]), _upsert_symbol)
+    assert pinned.count() == 2 and store.table("fno_stocks").count() == 3
+
+    def breaks(old, new):
+        raise RuntimeError("lost the driver while merging")
+
+    with pytest.raises(RuntimeError):
+        store.apply("fno_stocks", make("master", [{"symbol": "D"}]), breaks)
+    assert sorted(r.symbol for r in store.table("fno_stocks").collect()) == ["A", "B", "C"]
+    for n in range(4):
+        store.apply("fno_stocks", make("master", [{"symbol": f"E{n}"}]), _upsert_symbol)
+    assert store.table("fno_stocks").count() == 7
+    kept = [f for f in session.subfolders(spark, store.snapshots_path("fno_stocks")) if f.isdigit()]
+    assert sorted(map(int, kept)) == [3, 4, 5]
+
+
+def test_a_second_writer_is_refused_and_a_dead_one_is_taken_over(make, store, spark):
+    from barscreen.sources.store import ConcurrentWrite
+
+    store.apply("fno_stocks", make("master", [{"symbol": "A"}]), _upsert_symbol)
+    claim = store._claim("fno_stocks", store.snapshot("fno_stocks") + 1)  # a writer at work
+    with pytest.raises(ConcurrentWrite):
+        store.apply("fno_stocks", make("master", [{"symbol": "B"}]), _upsert_symbol)
+    assert [r.symbol for r in store.table("fno_stocks").collect()] == ["A"]
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(claim)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.setTimes(path, 0, -1)  # that writer died long ago
+    store.apply("fno_stocks", make("master", [{"symbol": "B"}]), _upsert_symbol)
+    assert sorted(r.symbol for r in store.table("fno_stocks").collect()) == ["A", "B"]
