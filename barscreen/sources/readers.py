@@ -293,11 +293,15 @@ def lot_sizes(instruments: DataFrame) -> DataFrame:
 
 
 def read_eligible(spark: SparkSession, path: str) -> DataFrame:
-    """Eligible symbols with company names under any of their known headers."""
-    listed = rename_headers(
-        with_ordinal(spark.read.option("header", True).csv(path)), snake_header
-    )
-    return eligible_stocks(listed)
+    """Eligible symbols with company names under any of their known headers.
+
+    Files are read by their header line, each group under its own names, so files whose
+    columns differ in name or order are all read right.
+    """
+    reader = spark.read.option("header", True)
+    groups = _files_by_header(spark, path) or [path]
+    parts = [eligible_stocks(rename_headers(with_ordinal(reader.csv(files)), snake_header)) for files in groups]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def eligible_stocks(listed: DataFrame) -> DataFrame:

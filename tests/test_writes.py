@@ -582,3 +582,13 @@ def test_a_second_writer_is_refused_and_a_dead_one_is_taken_over(make, store, sp
     fs.setTimes(path, 0, -1)  # that writer died long ago
     store.apply("fno_stocks", make("master", [{"symbol": "B"}]), _upsert_symbol)
     assert sorted(r.symbol for r in store.table("fno_stocks").collect()) == ["A", "B"]
+
+
+def test_eligible_files_with_other_headers_and_orders_are_read_right(spark, tmp_path):
+    folder = tmp_path / "eligible"
+    folder.mkdir()
+    (folder / "a.csv").write_text("symbol,underlying\nABC,Alpha Ltd\n")
+    (folder / "b.csv").write_text("Company Name,Symbol\nBeta Ltd,XYZ\n")
+    (folder / "c.csv").write_text("SYMBOL, Company Name \n DEF , Delta Ltd\n")
+    got = pairs(readers.read_eligible(spark, str(folder)), "symbol", "company_name")
+    assert got == [("ABC", "Alpha Ltd"), ("DEF", "Delta Ltd"), ("XYZ", "Beta Ltd")]

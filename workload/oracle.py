@@ -500,6 +500,12 @@ _add(
              FROM events WHERE event_type = 'purchase')
        WHERE lot > 0 GROUP BY user_id""",
 )
+_add(
+    "eligible_mixed_headers",
+    "",
+    """SELECT upper(p_brand) AS symbol, trim(max(p_name)) AS company_name
+       FROM part WHERE upper(p_brand) <> 'BRAND#5' GROUP BY upper(p_brand)""",
+)
 _add(
     "master_rows",
     "",

@@ -460,6 +460,13 @@ def lot_sizes_json(spark: SparkSession, sf: str) -> DataFrame:
     return plain(readers.lot_sizes(t.instruments(spark, sf)))
 
 
+@query
+def eligible_mixed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Eligible files under two headers, with their columns in other orders, read alike."""
+    listed = readers.read_eligible(spark, t.mixed_eligible_landing(spark, sf))
+    return plain(listed.select("symbol", "company_name"))
+
+
 @query
 def master_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Listed brands with lot sizes from the instrument entries, 0 where there is none."""

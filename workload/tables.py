@@ -424,6 +424,24 @@ def eligible_landing(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "landing-eligible", build)
 
 
+def mixed_eligible_landing(spark: SparkSession, sf_dir: str) -> str:
+    """The list of eligible symbols in files of two layouts: other names, other column order."""
+
+    def build() -> str:
+        path = new_folder(spark, "landing-eligible-mixed")
+        listed = master_batch(spark, sf_dir)
+        odd = F.crc32(F.col("symbol").cast("binary")) % 2 == 1
+        listed.filter(~odd).select("symbol", F.col("company_name").alias("Underlying")).write.option(
+            "header", True
+        ).csv(path)
+        listed.filter(odd).select(F.col("company_name").alias("Company Name"), F.col("symbol").alias("Symbol")).write.option(
+            "header", True
+        ).mode("append").csv(path)
+        return path
+
+    return _once(spark, sf_dir, "landing-eligible-mixed", build)
+
+
 def market_store(spark: SparkSession, sf_dir: str) -> Store:
     """All market tables in a store."""
 
