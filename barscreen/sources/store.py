@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -147,10 +148,16 @@ class Store:
         newest = self._stored(table).filter(F.col(MONTH) == max(months))
         return newest.agg(F.max(table.date_column)).first()[0]
 
-    def set_aside(self, feed: str, rows: DataFrame) -> None:
-        """Keep the raw rows that a load had to leave out, in place of the load before's."""
-        kept = rows.select(F.to_json(F.struct("*")).alias("row"))
-        kept.write.mode("overwrite").parquet(self.aside_path(feed))
+    def set_aside(self, feed: str, rows: DataFrame) -> str:
+        """Keep the raw rows that a load had to leave out, beside those of earlier loads.
+
+        Every load appends its own ``load=`` partition (UTC time, then a random part, so names
+        sort by time); nothing set aside before is rewritten. Returns the load's name.
+        """
+        load = f"{dt.datetime.now(dt.UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+        kept = rows.select(F.to_json(F.struct("*")).alias("row"), F.lit(load).alias("load"))
+        kept.write.mode("append").partitionBy("load").parquet(self.aside_path(feed))
+        return load
 
     def aside_path(self, feed: str) -> str:
         return f"{self.root}/_quarantine/{feed}"

@@ -482,6 +482,11 @@ def test_undated_rows_are_counted_and_set_aside(spark, tmp_path):
     assert counts == {"equity_read": 3, "equity_undated": 1, "daily_ohlcv": 2}
     aside = spark.read.parquet(store.aside_path("equity")).collect()
     assert len(aside) == 1 and '"Date":"soon"' in aside[0].row
+    (root / "equity" / "later.csv").write_text("symbol,Date,Series,ClosePrice\nA,never,EQ,8\n")
+    jobs.collect_all(spark, jobs.Landing(str(root)), store, today=day(10))
+    aside = spark.read.parquet(store.aside_path("equity")).collect()
+    assert sorted(r.row.split('"Date":')[1][:7] for r in aside) == ['"never"', '"soon",', '"soon",']
+    assert len({r.load for r in aside}) == 2  # each load keeps its own rows
 
 
 def _months_read(frame):
