@@ -352,8 +352,9 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metadata_rows(raw: DataFrame) -> DataFrame:
+    """A line without a symbol (malformed, or none given) names no stock and is left out."""
     kept = [ORDINAL] if ORDINAL in raw.columns else []
-    return raw.select(
+    return raw.filter(F.trim("symbol") != "").select(
         "symbol",
         F.coalesce("info.industry", F.lit("")).alias("industry"),
         F.coalesce("info.segment", F.lit("")).alias("segment"),

@@ -289,7 +289,8 @@ def test_bans_and_metadata_readers(spark, tmp_path):
     ])})
     assert pairs(readers.read_bans(spark, folder), "symbol") == [("A",), ("B",)]
     folder = landed(tmp_path, "metadata", {"m.json": "\n".join([
-        '{"symbol":"A","info":{"industry":"Oil"}}', '{"symbol":"B"}',
+        '{"symbol":"A","info":{"industry":"Oil"}}', '{"symbol":"B"}', '{"symbol": "C", broken',
+        '{"info":{"industry":"Gas"}}', '{"symbol":" "}',
     ])})
     assert pairs(readers.read_metadata(spark, folder), "symbol", "industry", "segment") == [
         ("A", "Oil", ""), ("B", "", ""),
