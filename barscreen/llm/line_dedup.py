@@ -7,12 +7,16 @@ covers is removed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
 
 
+def _lines(text: str) -> Column:
+    return F.split(text, "\n", -1)
+
+
 def _windows(keyed: DataFrame, width: int) -> DataFrame:
     """(id, hash, pos, w1, w2): a row for each window; two 64-bit hashes name its lines."""
     shifted = [F.slice("lines", i + 1, F.greatest(F.size("lines"), F.lit(1))).alias(f"l{i}") for i in range(width)]
@@ -52,30 +56,30 @@ def without_repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     and has no lines.
     """
     result = fresh(docs, "dedup")
-    key = (
-        F.col("doc_id").alias("id"),
-        F.xxhash64("text").alias("hash"),
-        F.split("text", "\n", -1).alias("lines"),
-    )
-    carried, keyed = docs.select(F.struct("*").alias("row"), *key), docs.select(*key)
+    key = (F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    # texts are shuffled once; their lines are split again after the join
+    carried, keyed = docs.select(F.struct("*").alias("row"), *key), docs.select(*key, _lines("text").alias("lines"))
     covered = _covered(_windows(keyed, width)).select(
         F.col("id").alias("covered_id"), F.col("hash").alias("covered_hash"), "starts"
     )
     same = carried["id"].eqNullSafe(covered["covered_id"]) & (carried["hash"] == covered["covered_hash"])
     gone = F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (width - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone)
-    # the lines come out of a shuffle, so that the split is not evaluated for every index
-    text = F.array_join(F.transform(kept, lambda i: F.element_at("lines", i + 1)), "\n")
+
+    def shortened(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.struct(
+            F.size(lines).cast("bigint").alias("n_lines"),
+            (F.size(lines) - F.size(kept)).cast("bigint").alias("n_removed"),
+            F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n").alias("text"),
+        )
+
     untouched = F.struct(
-        F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size(_lines("row.text")), F.lit(0)).cast("bigint").alias("n_lines"),
         F.lit(0).cast("bigint").alias("n_removed"),
         F.col("row.text").alias("text"),
     )
-    changed = F.struct(
-        F.size("lines").cast("bigint").alias("n_lines"),
-        (F.size("lines") - F.size(kept)).cast("bigint").alias("n_removed"),
-        text.alias("text"),
-    )
+    # as the variable of a lambda, the lines are split once and not for every index
+    changed = F.transform(F.array(_lines("row.text")), shortened)[0]
     return carried.join(covered, same, "left").select(
         "row.*", F.when(F.col("starts").isNull(), untouched).otherwise(changed).alias(result)
     )

@@ -232,6 +232,13 @@ def test_line_dedup(docs):
     assert {r["doc_id"] for r in line_dedup.cleaned(docs(texts)).collect()} == {1, 2, 3, 4, 5}
 
 
+def test_line_dedup_shuffles_each_text_once(docs):
+    plan = line_dedup.dedup_lines(docs(["a\nb\nc\nd", "x"]))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    carried = [line for line in plan[join + 1 :] if " AS row#" in line]
+    assert len(carried) == 1 and "split(" not in carried[0]
+
+
 def test_language_gradients_and_padding():
     rng = np.random.default_rng(2)
     p = {k: v.astype(float) for k, v in language_gru._start(3, 2, rng).items()}
