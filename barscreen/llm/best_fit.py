@@ -17,13 +17,18 @@ numbers from 0, packed sequences negative ones. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
+import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,21 +37,148 @@ from ..session import staged
 CAPACITY = 2048
 SHARD_PIECES = 20_000
 END_ID = 0
+_END = END_ID.to_bytes(4, "little")
 ENCODE_CHARS = 1 << 20  # characters given to the tokenizer at once (its encodings are large)
+RUN_CHARS = 1 << 23  # characters of the texts whose distinct words are looked up together
+CACHED_WORDS = 750_000  # a run of texts may add its own words before the cache starts anew
+LONG_WORD = 64  # longer words are not cached
 
 PIECES = "row_key bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 OUT_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
-_TOKENIZERS: dict[str, object] = {}
+# what may or may not be white space to the library; a word never ends after one of these
+_RARE = r"\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
+_RARE_SPACE = re.compile(f"[{_RARE}]")
+_RARE_EDGE = re.compile(f"(?<=[^ \\t\\r\\n{_RARE}])(?=[ \\t\\r\\n])")
+# white space before a space, or that may be none to the library: such texts are not cut at spaces
+_NOT_AT_SPACES = re.compile(f"[ \\t\\r\\n] |[{_RARE}]").search
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+# a line break before a word, a plain word that no letter goes on, else up to the next white space
+_WORD = re.compile(rf"\n(?=[{_LETTERS}])| ?[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|\Z)|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+_PLAIN = re.compile(f" ?[{_LETTERS}]+").fullmatch
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models write the bytes of a text."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+class _Encoder:
+    """Ids of whole texts by the library's tokenizer, every distinct word encoded once.
+
+    A byte-level pretokenizer always ends a token where white space follows something else and
+    where a letter ends a word, so a text's ids are those of its words (with the white space
+    before them) one after the other.
+    Other tokenizers, and texts that hold an added token, are encoded whole. The cache of short
+    words starts anew when it is full.
+    """
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
+        # Spark's tasks are what runs at the same time
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as file:
+            self.by_word = _by_word(json.load(file))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+
+    def _merged(self, word: str) -> bytes:
+        """Ids of a plain word: one token of the pretokenizer, which goes to the model as it is."""
+        if word.isascii():
+            found = self.model.tokenize(word.replace(" ", _BYTE_LETTERS[ord(" ")]))
+        else:
+            found = self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))
+        return b"".join([t.id.to_bytes(4, "little") for t in found])
+
+    def _split(self, text: str) -> list[str]:
+        if not self.by_word or any(t in text for t in self.added):
+            return [text]
+        return _RARE_EDGE.split(text) if _RARE_SPACE.search(text) else _WORD.findall(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit words."""
+        if len(self.words) >= CACHED_WORDS:
+            self.words.clear()
+        spaced = [self.by_word and not _NOT_AT_SPACES(t) and not any(a in t for a in self.added) for t in texts]
+        of_spaced = iter(self._at_spaces([t for t, s in zip(texts, spaced, strict=True) if s]))
+        of_others = iter(_each(*self._ids([t for t, s in zip(texts, spaced, strict=True) if not s], self._split)))
+        return [next(of_spaced if s else of_others) for s in spaced]
+
+    def _at_spaces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut before every space: each distinct part is looked at once."""
+        if not texts:
+            return []
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        at = coded.indices.to_numpy().astype(np.int64)
+        firsts = [t.partition(" ")[0] for t in texts]  # no space goes before these
+        at[bounds[:-1]] = len(names) + np.arange(len(texts))
+        ids, starts = self._ids([" " + name for name in names] + firsts, _WORD.findall)
+        lengths = np.diff(starts)[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        take = np.repeat(starts[at] - ends[:-1], lengths) + np.arange(ends[-1])
+        return _each(ids[take], ends[bounds])
+
+    def _ids(self, texts: list[str], split: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more for the end)."""
+        words: list[str] = []
+        bounds = [0]
+        for text in texts:
+            words += split(text)
+            bounds.append(len(words))
+        found = list(map(self.words.get, words))
+        new = {w for w, ids in zip(words, found, strict=True) if ids is None}
+        plain = set(filter(_PLAIN, new)) if self.by_word else set()
+        known = {w: self._merged(w) for w in plain}
+        rest = list(new - plain)
+        for lo, hi in _bounded(rest, ENCODE_CHARS):
+            known.update(zip(rest[lo:hi], self._encoded(rest[lo:hi]), strict=True))
+        self.words.update((w, ids) for w, ids in known.items() if len(w) <= LONG_WORD)
+        if known:
+            found = [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        ends = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=ends[1:])
+        return np.frombuffer(b"".join(found), "<u4"), ends[bounds]
+
+
+def _each(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [ids[lo:hi].tobytes() for lo, hi in itertools.pairwise(bounds.tolist())]
+
+
+def _by_word(settings: dict) -> bool:
+    """Does the tokenizer of these settings encode words on their own?"""
+    pre = settings.get("pre_tokenizer") or {}
+    return (
+        pre.get("type") == "ByteLevel"
+        and pre.get("use_regex", True)
+        and not pre.get("add_prefix_space")
+        and settings["model"].get("type") == "BPE"
+        and not settings["model"].get("dropout")
+        and not any(settings.get(k) for k in ("normalizer", "truncation", "padding"))
+    )
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    return _ENCODERS[path]
 
 
 def cut(n_ids: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -71,21 +203,21 @@ def _bounded(texts: list[str], most_chars: int) -> Iterator[tuple[int, int]]:
 
 def _pieces(tokenizer_path: str, capacity: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys, ids = batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist()
-            for lo, hi in _bounded(texts, ENCODE_CHARS):
+            for lo, hi in _bounded(texts, RUN_CHARS):
                 out: dict[str, list] = {k: [] for k in _PIECES_SCHEMA.names}
-                for key, doc, enc in zip(keys[lo:hi], ids[lo:hi], tok.encode_batch(texts[lo:hi], add_special_tokens=False), strict=True):
-                    words = np.asarray(enc.ids + [END_ID], dtype="<u4")
-                    for n, (start, length) in enumerate(cut(len(words), capacity)):
+                for key, doc, words in zip(keys[lo:hi], ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
+                    words += _END
+                    for n, (start, length) in enumerate(cut(len(words) // 4, capacity)):
                         out["row_key"].append(key)
                         out["doc_id"].append(doc)
                         out["piece"].append(n)
                         out["start"].append(start)
                         out["length"].append(length)
-                        out["ids_crc32"].append(zlib.crc32(words[start : start + length].tobytes()))
+                        out["ids_crc32"].append(zlib.crc32(words[4 * start : 4 * (start + length)]))
                 yield pa.RecordBatch.from_pydict(out, schema=_PIECES_SCHEMA)
 
     return split
@@ -100,32 +232,30 @@ _PIECES_SCHEMA = pa.schema(
 def fullest(counts: np.ndarray, capacity: int) -> list[int]:
     """Lengths of the fullest combination that fits, from ``counts[length]`` waiting pieces.
 
-    A bitset of reachable sums; each sum remembers the length that first reached it, so the
-    combination is read back from the best sum downwards.
+    A bitset of reachable sums, held in one integer; every step keeps the sums it was the first
+    to reach, so the combination is read back from the best sum through the steps that gave it.
     """
-    reach = np.zeros(capacity + 1, bool)
-    reach[0] = True
-    via = np.zeros(capacity + 1, np.int64)
-    for length in np.flatnonzero(counts[: capacity + 1])[::-1]:
+    reach, all_sums = 1, (1 << (capacity + 1)) - 1
+    steps: list[tuple[int, int]] = []
+    for length in np.flatnonzero(counts[: capacity + 1])[::-1].tolist():
         if length == 0:
             continue
-        for _ in range(min(int(counts[length]), capacity // int(length))):
-            new = np.zeros(capacity + 1, bool)
-            new[length:] = reach[: capacity + 1 - length]
-            new &= ~reach
-            if not new.any():
+        for _ in range(min(int(counts[length]), capacity // length)):
+            new = (reach << length) & all_sums & ~reach
+            if not new:
                 break
-            via[new] = length
+            steps.append((length, new))
             reach |= new
-            if reach[capacity]:
+            if reach >> capacity:
                 break
-        if reach[capacity]:
+        if reach >> capacity:
             break
-    total = int(np.flatnonzero(reach)[-1])
+    total = reach.bit_length() - 1
     taken = []
-    while total > 0:
-        taken.append(int(via[total]))
-        total -= int(via[total])
+    for length, new in reversed(steps):
+        if new >> total & 1:
+            taken.append(length)
+            total -= length
     return taken
 
 

@@ -185,3 +185,25 @@ def test_conversation_trie_of_no_rows_and_of_turnless_conversations(spark):
     got = trie_rows(spark, rows)
     assert got == brute_trie(rows)
     assert got[0][1] == 0 and got[0][3] == 1
+
+
+def test_best_fit_encodes_each_word_once_and_as_the_library_does():
+    import numpy as np
+
+    from barscreen.llm import best_fit
+    from barscreen.llm.queries import tokenizer
+
+    rng = random.Random(11)
+    parts = ["ab", " ab", "Été", "it's", "'S", "x9", "9,", " ", "  ", "\n", "\n\n", "\r", "\t", "\x0b", "\x1c", "\x85", "\xa0"]
+    parts += ["᠎", " ", "　", "中文", "😀", "é", "***", "(a)", "<|endoftext|>", "z" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(20_000)]
+    encoder = best_fit._Encoder(tokenizer("byte_bpe_50k.json"))
+    assert encoder.by_word
+    whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert encoder.encode(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in whole]
+
+    encoder.words.clear()
+    encoder.encode(["some words of some words, some\nwords"] * 50)
+    assert set(encoder.words) == {"some", " words", " of", " some", ",", "\n", "words"}
+    encoder.by_word = False  # another tokenizer: every text whole
+    assert encoder.encode(texts[:500]) == [np.asarray(e.ids, "<u4").tobytes() for e in whole[:500]]
