@@ -12,8 +12,10 @@ part in the bands of the larger sets it could be similar to.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ SKETCH = (
     "id bigint, n bigint, sum bigint, parity bigint, own boolean, band int, "
     "blocks array<bigint>, bits array<bigint>"
 )
+IDENTITY = "id bigint, n bigint, sum bigint, parity bigint"
 SHINGLES = "id bigint, n bigint, sum bigint, parity bigint, shingles array<bigint>"
 
 
@@ -63,6 +66,13 @@ def most_different(band: int, percent: int) -> int:
     return 2 * (_STARTS[band + 1] - 1) * (100 - percent) // (100 + percent)
 
 
+def spare_blocks(band: int, percent: int) -> int:
+    """Blocks beyond those that the pigeonhole needs; every set leaves out as many of its own."""
+    count = most_different(band, percent) + 1
+    fewest = -(-_STARTS[band] * percent // 100)
+    return 1 + count // 16 + math.ceil(2 * count * math.exp(-fewest / count))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -96,16 +106,23 @@ def shingle_hashes(text: bytes, width: int, words: _WordHashes) -> np.ndarray:
 
 
 def _blocks(shingles: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """The join keys of a set in a band: every block's XOR, mixed with its place."""
-    count = most_different(band, percent) + 1
+    """The join keys of a set in a band: XORs of its blocks, each mixed with its place.
+
+    With s spare blocks, similar sets agree in s + 1 blocks at least. Each set leaves out the
+    first s blocks in order of (number of shingles, place): empty and nearly empty blocks, which
+    many sets share. Of the blocks that two sets agree in, the last one in that order has s
+    others before it in both sets, so neither leaves it out.
+    """
+    spare = spare_blocks(band, percent)
+    count = most_different(band, percent) + 1 + spare
     # a range of hashes for each block: the sorted shingles of a block lie side by side
     place = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-    used, starts = np.unique(place, return_index=True)
-    keys = np.bitwise_xor.reduceat(shingles, starts)
-    if len(used) < count:  # an empty block is as good as any other
-        empty = np.setdiff1d(np.arange(count, dtype=np.uint64), used)
-        used, keys = np.concatenate([used, empty]), np.concatenate([keys, np.zeros(len(empty), np.uint64)])
-    return _mix(keys ^ ((used + np.uint64(band << 40)) * _ODD))
+    used, starts, sizes = np.unique(place, return_index=True, return_counts=True)
+    keys, held = np.zeros(count, np.uint64), np.zeros(count, np.int64)
+    at = used.astype(np.int64)
+    keys[at], held[at] = np.bitwise_xor.reduceat(shingles, starts), sizes
+    kept = np.argsort(held, kind="stable")[spare:]
+    return _mix(keys[kept] ^ ((kept.astype(np.uint64) + np.uint64(band << 40)) * _ODD))
 
 
 def _bits(shingles: np.ndarray, band: int) -> np.ndarray:
@@ -152,6 +169,22 @@ def sketches(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return docs.mapInArrow(work, SKETCH)
 
 
+def identities(docs: DataFrame, width: int) -> DataFrame:
+    """(id, n, sum, parity) of every row: what its set is, without the set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordHashes()
+        for batch in batches:
+            data, bounds = utf8(batch.column(1))
+            sets = (shingle_hashes(data[lo:hi].tobytes(), width, words) for lo, hi in pairwise(bounds.tolist()))
+            columns = list(zip(*map(_identity, sets), strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["id", "n", "sum", "parity"]
+            )
+
+    return docs.mapInArrow(work, IDENTITY)
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHashes()
@@ -235,7 +268,8 @@ def _open_pairs(keyed: DataFrame, hubs: DataFrame, found: DataFrame, classes: Da
     left = open_.filter(F.col("members") <= SMALL)
     right = left.select("key", F.col("id").alias("v"), F.col("component").alias("other"))
     few = left.join(right, "key").filter("id < v AND component != other")
-    few = _near(few.select(F.col("id").alias("u"), "v", "band").distinct(), classes, percent)
+    few = staged(few.select(F.col("id").alias("u"), "v", "band").distinct(), "few")
+    few = _near(few, classes, percent)
     blocks = F.ceil(F.col("members") / BLOCK)
     # each member meets every block of its key: blocks, not members, are paired
     many = (
@@ -283,11 +317,11 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3) -> Dat
     blocks of bounded size. Nothing is capped or dropped.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = staged(sketches(texts, percent, width), "sketches")
+    rows = staged(identities(texts, width), "identities")
     kind = ["n", "sum", "parity"]
-    # members of a class have the same sketches: any one stands for it
+    # members of a class have the same sketches: any one stands for it, and only its are stored
     classes = staged(
-        rows.filter("n > 0 AND id IS NOT NULL")
+        sketches(texts, percent, width).filter("n > 0 AND id IS NOT NULL")
         .groupBy(*kind, "band", "own")
         .agg(F.min("id").alias("id"), F.first("blocks").alias("blocks"), F.first("bits").alias("bits")),
         "classes",
@@ -301,6 +335,8 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3) -> Dat
         .select(F.col("hub").alias("u"), F.col("id").alias("v"), "band")
         .distinct()
     )
+    # stored on its own: the keys' shuffle is gone before the sketches are shuffled
+    spokes = staged(spokes, "spokes")
     near = staged(_near(spokes, classes, percent).distinct(), "near")
     links = staged(_verified(near, classes, texts, percent, width), "links")
     found = connected_components(links, "u", "v")
@@ -313,8 +349,7 @@ def similar_documents(docs: DataFrame, percent: int = 90, width: int = 3) -> Dat
         .join(found.withColumnRenamed("node", "id"), "id", "left")
         .select(*kind, F.coalesce("component", "id").alias("of_class"))
     )
-    own = rows.filter("own").select("id", *kind)
-    return own.join(of_class, kind, "left").select(
+    return rows.join(of_class, kind, "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.coalesce("of_class", "id").alias("component_id"),

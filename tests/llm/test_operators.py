@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 import pytest
 import sentencepiece
 
@@ -23,6 +24,7 @@ from barscreen.llm import (
 )
 from barscreen.llm.components import connected_components
 from barscreen.llm.queries import tokenizer
+from barscreen.session import staged
 
 DOCS = "doc_id long, text string, lang string, source string, rank string, dedup int"
 
@@ -202,6 +204,33 @@ def test_large_keys_are_compared_in_blocks(docs, monkeypatch):
     test_parity_join_against_all_pairs(docs)
 
 
+@pytest.mark.parametrize(("percent", "n"), [(80, 40), (80, 700), (90, 60), (90, 3000)])
+def test_similar_sets_agree_in_a_block_and_others_in_few(percent, n):
+    rng = np.random.default_rng(n)
+    draw = lambda k: rng.integers(0, 1 << 64, k, np.uint64)
+    sets = [np.unique(draw(n)) for _ in range(120)]
+    for one in sets:
+        shared = -(-2 * n * percent // (100 + percent))  # as few as two sets of n may share
+        near = np.unique(np.concatenate([rng.permutation(one)[:shared], draw(n - shared)]))
+        band = max(map(parity_join.band_of, (len(one), len(near))))
+        both = [parity_join._blocks(s, band, percent) for s in (one, near)]
+        assert len(np.intersect1d(*both)) and len(both[0]) == parity_join.most_different(band, percent) + 1
+    keys = np.concatenate([np.unique(parity_join._blocks(s, parity_join.band_of(n), percent)) for s in sets])
+    assert len(keys) - len(np.unique(keys)) <= 2  # empty blocks would be shared by many
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in manager.getAllFiles().mkString(",").split(",") if "shuffle_" in f}
+
+    before = shuffled()
+    out = staged(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 9).alias("k")).count(), "sums")
+    again = staged(out.distinct(), "again")
+    assert not [f for f in shuffled() - before if f.endswith(".data")]
+    assert out.count() == 9 and again.count() == 9
+
+
 def test_boundaries_are_the_best():
     rnd = random.Random(5)
     for _ in range(20):
