@@ -266,7 +266,8 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     own = staged(own, "notices")
     directories = files.select(_directory(F.col("path")).alias("directory")).filter("directory IS NOT NULL").distinct()
-    above = inherited(own, directories).select(
+    # written before the files are joined: one stage doing both holds the sorts and maps of both
+    above = staged(inherited(own, directories), "directories").select(
         F.col("directory").alias("of"), F.col("license").alias("inherited"), "origin"
     )
     own = own.withColumnRenamed("path", "own_path")
